@@ -20,20 +20,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import byte_hash
 from .common import id_and_text
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Stands for a null id within blocks; it sorts before all others.
 NULL_ID = -(1 << 63)
 KEYS = "block int, bucket int, keys binary, more binary"
+TEXT_KEY = ["h", "h2"]
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id (nulls as ``NULL_ID``), text and block of each document, and the number of blocks."""
+    """doc_id (nulls as ``NULL_ID``), text, its 96-bit key (h, h2) and block of each document, and the number of blocks."""
     kept = id_and_text(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
     total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(total / block_bytes))
-    return kept.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")), count
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
+    return kept.select("doc_id", "text", F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2"), block.alias("block")), count
+
+
+def firsts(placed: DataFrame, count: int) -> DataFrame:
+    """rep, rep_h and block of the document with the smallest id of each distinct text; other documents are exact copies."""
+    least = placed.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("rep"))
+    return least.select("rep", (F.col("h") + F.lit(0)).alias("rep_h"), F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int").alias("block"))
+
+
+def pair_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One value for an id and its text's key."""
+    return byte_hash.mix(ids.astype(np.uint64)) ^ hashes.astype(np.uint64)
+
+
+def is_first(table: pa.Table, roster: np.ndarray) -> np.ndarray:
+    """Which rows stand for their text, given the pair keys of those that do."""
+    return np.isin(pair_keys(table["doc_id"].to_numpy(), table["h"].to_numpy()), roster)
+
+
+def roster_of(wanted: pa.Table) -> np.ndarray:
+    return pair_keys(wanted["rep"].to_numpy(), wanted["rep_h"].to_numpy())
 
 
 def split_keys(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

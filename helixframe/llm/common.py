@@ -48,3 +48,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def partitions_of(spark: SparkSession, floor: int = 1) -> int:
     """The session's shuffle partitions, which the cluster sizes to its input."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, total: int, how: str = "inner", parts: int = 64) -> DataFrame:
+    """Join on ``keys``, unique on the right, with the left rows of hot keys dealt over ``parts`` tasks.
+
+    A key is hot with over a 200th of the left's ``total`` rows, so there are
+    fewer than 200 of them and broadcasting them is bounded.
+    """
+    hot = F.broadcast(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(1_000, total // 200)).select(*keys, F.lit(True).alias("__hot")))
+    deal = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")
+    dealt = left.join(hot, keys, "left").withColumn("__part", deal).drop("__hot")
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    spread_right = right.join(hot, keys, "left").withColumn("__part", F.explode(copies)).drop("__hot")
+    return dealt.join(spread_right, [*keys, "__part"], how).drop("__part")
