@@ -10,7 +10,8 @@ has one anchor, the smallest ranked (leftmost, if equal) of the ``HALF``-byte
 strings in it, so equal windows have equal anchors and ranking the anchors alone,
 about two in ``HALF + 1`` positions, loses no repeat. The second round sends each
 surviving anchor with its surroundings once per block of documents and takes the
-smallest document of every window around it.
+smallest document of every window around it. Exact copies of an earlier document
+take no part: all their bytes are covered, if they reach the threshold.
 
 Ranks are 64-bit hashes: two different windows share one with a chance of about
 2**-64 a pair. Everything a block sends is distinct within the block, so a passage
@@ -26,25 +27,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
-from .blocks import BLOCK_BYTES, KEYS, NULL_ID, blocked, key_rows, pack, split_keys, unpack
+from .blocks import BLOCK_BYTES, KEYS, NULL_ID, blocked, firsts, is_first, key_rows, pack, roster_of, split_keys, unpack
 
 HALF = 25
 WINDOW = 2 * HALF
 SPAN = 3 * HALF
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 #: Windows held at once while a bucket of surroundings is ranked.
-_RANKED = 1 << 21
+_RANKED = 1 << 18
 
 
 class Block:
     """The documents of a block in id order, their anchors and the anchors' surroundings."""
 
-    def __init__(self, table: pa.Table):
-        table = table.sort_by("doc_id")
+    def __init__(self, table: pa.Table, roster: np.ndarray):
+        table = table.filter(pa.array(is_first(table, roster))).sort_by("doc_id")
         self.ids = table["doc_id"].to_numpy()
         self.data, self.at = byte_hash.bytes_of(table["text"])
         self._anchors()
@@ -114,16 +117,22 @@ class Block:
 
 
 def _send_ranks(buckets: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ranks, several = Block(table).distinct_ranks()
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, wanted: pa.Table) -> pa.Table:
+        roster = roster_of(wanted)
+        ranks, several = Block(table, roster).distinct_ranks()
         order, lows, at = split_keys(ranks, buckets)
-        return key_rows(key[0].as_py(), lows, at, several[order].astype(np.uint8))
+        sent = key_rows(key[0].as_py(), lows, at, several[order].astype(np.uint8))
+        # The roster of a block passes a bucket of its own on its way to the later passes.
+        own = [pa.array([key[0].as_py()], pa.int32()), pa.array([buckets + key[0].as_py()], pa.int32()), pa.array([roster.tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
+        return pa.concat_tables([sent, pa.table(own, ["block", "bucket", "keys", "more"])])
 
     return run
 
 
 def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each key sent to a bucket, whether a second document holds it."""
+    """For each key sent to a bucket, whether a second document holds it; rosters, without such flags, pass."""
+    if table["more"].null_count:
+        return pa.table([table["block"], table["bucket"], table["keys"]], ["block", "bucket", "hits"])
     keys, at = unpack(table["keys"], "<u4")
     several, _ = unpack(table["more"], "u1")
     ordered = np.sort(keys)
@@ -138,10 +147,12 @@ _SURROUNDINGS = "block int, bucket int, around binary, doc binary, sides binary,
 
 def _send_surroundings(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, hits: pa.Table) -> pa.Table:
-        block = Block(table)
+        own = pa.array(hits["bucket"].to_numpy() >= buckets)
+        roster, _ = unpack(hits.filter(own)["hits"], "<u8")
+        block = Block(table, roster)
         ranks, _ = block.distinct_ranks()
         order, _, _ = split_keys(ranks, buckets)
-        hit, _ = unpack(hits.sort_by("bucket")["hits"], "u1")
+        hit, _ = unpack(hits.filter(pc.invert(own)).sort_by("bucket")["hits"], "u1")
         alive = np.zeros(len(ranks), bool)
         alive[order] = hit > 0
         values, first, _ = block.distinct_around()
@@ -160,7 +171,11 @@ def _send_surroundings(buckets: int):
             sides = np.stack([where[o] - left[o], right[o] - where[o]], 1).astype(np.uint8)
             around = padded[where[o][:, None] + np.arange(SPAN)]
             for column, value in zip(columns, (values[o], block.ids[owner[o]].astype("<i8"), sides, around)):
-                column.append(value.tobytes())
+                column.append(value.tobytes() if value is not around else zstandard.compress(value.tobytes(), 1))
+        # The roster again, in the place of surroundings.
+        for column, value in zip(columns, (roster.tobytes(), b"", b"", b"")):
+            column.append(value)
+        used = [*used, buckets + key[0].as_py()]
         ids = [pa.array([key[0].as_py()] * len(used), pa.int32()), pa.array(used, pa.int32())]
         return pa.table([*ids, *(pa.array(c, pa.binary()) for c in columns)], ["block", "bucket", "around", "doc", "sides", "bytes"])
 
@@ -171,18 +186,26 @@ _MARKS = "block int, around binary, marks binary"
 
 
 def _rank_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each surroundings sent, a bit per window that a smaller document holds; those without any are left out."""
+    """For each surroundings sent, a bit per window that a smaller document holds; those without any are left out. A roster passes, with null marks."""
+    if len(table["bytes"][0].as_buffer()) == 0:
+        return pa.table([table["block"], table["around"], pa.nulls(table.num_rows, pa.binary())], ["block", "around", "marks"])
     around, at = unpack(table["around"], "<u8")
     doc, _ = unpack(table["doc"], "<i8")
     sides = unpack(table["sides"], "u1")[0].reshape(-1, 2).astype(np.int64)
-    raw = unpack(table["bytes"], "u1")[0].reshape(-1, SPAN)
+    raw = np.concatenate([np.frombuffer(zstandard.decompress(x.as_buffer()), np.uint8) for x in table["bytes"]]).reshape(-1, SPAN)
     marks = np.zeros(len(around), np.uint32)
     # Windows around different anchors differ, so a bucket is ranked in parts by its anchors.
-    anchors = byte_hash.ranges(byte_hash.prefix(raw.ravel()), np.arange(len(raw)) * SPAN + HALF, np.arange(len(raw)) * SPAN + 2 * HALF)
+    anchors = np.empty(len(raw), np.uint64)
+    for lo in range(0, len(raw), _RANKED // SPAN):
+        some = raw[lo : lo + _RANKED // SPAN]
+        start = np.arange(len(some)) * SPAN + HALF
+        anchors[lo : lo + len(some)] = byte_hash.ranges(byte_hash.prefix(some.ravel()), start, start + HALF)
     parts = max(1, -(-len(raw) * (HALF + 1) // _RANKED))
-    part = (anchors >> np.uint64(7)) % np.uint64(parts)
-    for p in range(parts):
-        rows = np.flatnonzero(part == np.uint64(p))
+    # An anchor that many blocks hold has as many rows at most as there are blocks.
+    groups = np.argsort((anchors >> np.uint64(7)) % np.uint64(parts), kind="stable")
+    cuts = np.searchsorted(((anchors >> np.uint64(7)) % np.uint64(parts))[groups], np.arange(parts + 1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        rows = groups[a:b]
         if not len(rows):
             continue
         sums = byte_hash.prefix(raw[rows].ravel())
@@ -214,7 +237,11 @@ _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 
 
 def _remove(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.Table:
-    block = Block(table)
+    own = marks["marks"].is_null()
+    roster, _ = unpack(marks.filter(own)["around"], "<u8")
+    marks = marks.filter(pc.invert(own))
+    copies = table.filter(pa.array(~is_first(table, roster)))
+    block = Block(table, roster)
     values, first, place = block.distinct_around()
     bits = np.zeros(len(values), np.uint32)
     if marks.num_rows:
@@ -226,23 +253,33 @@ def _remove(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.
     later = ids > ids[first][place] if len(ids) else np.empty(0, bool)
     left = np.minimum(block.where - block.at[block.owner], HALF)
     right = np.minimum(block.at[block.owner + 1] - block.where, 2 * HALF)
-    edge = np.zeros(len(block.data) + 1, np.int64)
     mine = bits[place] if len(place) else np.empty(0, np.uint32)
     some = np.flatnonzero(later | (mine > 0))
-    for j in range(HALF + 1):
-        hit = some[(later[some] | ((mine[some] >> np.uint32(j)) & 1 > 0)) & (j <= left[some]) & (WINDOW - j <= right[some])]
-        start = block.where[hit] - j
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + WINDOW, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    start = gone.copy()
-    start[1:] &= ~gone[:-1]
-    start[block.at[:-1][block.at[:-1] < len(gone)]] = gone[block.at[:-1][block.at[:-1] < len(gone)]]
-    sums = lambda flags: np.concatenate([[0], np.cumsum(flags)])[block.at]
-    sizes, removed, spans = np.diff(block.at), np.diff(sums(gone)), np.diff(sums(start))
-    kept = [block.data[a:b][~gone[a:b]].tobytes() if r else block.data[a:b].tobytes() for a, b, r in zip(block.at[:-1], block.at[1:], removed)]
-    ids = pa.array(block.ids, pa.int64(), mask=block.ids == NULL_ID)
-    return pa.table([ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    starts, whole = block.where[some], later[some]
+    marked, before, after = mine[some], left[some], right[some]
+    sizes, removed, spans, kept = np.diff(block.at), np.zeros(len(block.ids), np.int64), np.zeros(len(block.ids), np.int64), []
+    for d, (a, b) in enumerate(zip(block.at[:-1], block.at[1:])):
+        x, y = np.searchsorted(starts, (a, b))
+        if x == y:
+            kept.append(block.data[a:b].tobytes())
+            continue
+        edge = np.zeros(b - a + 1, np.int32)
+        for j in range(HALF + 1):
+            hit = (whole[x:y] | ((marked[x:y] >> np.uint32(j)) & 1 > 0)) & (j <= before[x:y]) & (WINDOW - j <= after[x:y])
+            begin = starts[x:y][hit] - j - a
+            edge[begin] += 1  # anchors of a document differ, so no place comes twice
+            edge[begin + WINDOW] -= 1
+        gone = np.cumsum(edge[:-1]) > 0
+        removed[d] = gone.sum()
+        spans[d] = gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()
+        kept.append(block.data[a:b][~gone].tobytes())
+    data, at = byte_hash.bytes_of(copies["text"])
+    whole = np.diff(at)
+    covered = np.where(whole >= WINDOW, whole, 0)
+    kept += [b"" if c else data[a : a + n].tobytes() for a, n, c in zip(at[:-1], whole, covered)]
+    ids = np.concatenate([block.ids, copies["doc_id"].to_numpy()])
+    numbers = [np.concatenate(x) for x in ((sizes, whole), (removed, covered), (spans, (covered > 0).astype(np.int64)))]
+    return pa.table([pa.array(ids, pa.int64(), mask=ids == NULL_ID), *(pa.array(x, pa.int64()) for x in numbers), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -250,7 +287,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     placed, blocks = blocked(docs, block_bytes)
     buckets = max(4, blocks)
     texts = placed.groupBy("block")
-    ranked = texts.applyInArrow(_send_ranks(buckets), KEYS).groupBy("bucket").applyInArrow(_repeated, "block int, bucket int, hits binary")
+    ranked = texts.cogroup(firsts(placed, blocks).groupBy("block")).applyInArrow(_send_ranks(buckets), KEYS).groupBy("bucket").applyInArrow(_repeated, "block int, bucket int, hits binary")
     sent = texts.cogroup(ranked.groupBy("block")).applyInArrow(_send_surroundings(buckets), _SURROUNDINGS)
     marks = sent.groupBy("bucket").applyInArrow(_rank_windows, _MARKS)
     return texts.cogroup(marks.groupBy("block")).applyInArrow(_remove, _RESULT)
