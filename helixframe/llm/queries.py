@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, fingerprint, language_id, ngram_join, packing, secret_scan, suffix_dedup, warc
+from . import bpe_codec, fingerprint, language_id, license_scan, ngram_join, packing, secret_scan, suffix_dedup, vector_search, warc
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), WORD_TOKENIZER))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.decode(encoded, BYTE_RANKS, public_tokenizers.PATTERN))
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -53,9 +61,11 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_fingerprint": op3_fingerprint,
     "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_vector_search": op9_vector_search,
     "op10_ngram_join": op10_ngram_join,
 }
 
