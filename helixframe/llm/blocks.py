@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
-from .common import id_and_text
+from .common import text_of
 
 BLOCK_BYTES = 4 << 20
 #: Stands for a null id within blocks; it sorts before all others.
@@ -30,13 +30,17 @@ KEYS = "block int, bucket int, keys binary, more binary"
 TEXT_KEY = ["h", "h2"]
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id (nulls as ``NULL_ID``), text, its 96-bit key (h, h2) and block of each document, and the number of blocks."""
-    kept = id_and_text(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> tuple[DataFrame, int]:
+    """doc_id (nulls as ``NULL_ID``), text, its 96-bit key (h, h2) and block of each document, and the number of blocks.
+
+    With ``carry`` the whole row goes along as ``row``, its text left out.
+    """
+    whole = [F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNull().alias("__null")).alias("row")] if carry else []
+    kept = docs.select(F.col("doc_id"), text_of().alias("text"), *whole).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
     total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
-    return kept.select("doc_id", "text", F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2"), block.alias("block")), count
+    return kept.select("doc_id", "text", *(["row"] if carry else []), F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2"), block.alias("block")), count
 
 
 def firsts(placed: DataFrame, count: int) -> DataFrame:

@@ -223,6 +223,6 @@ def near_duplicate_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows whose document is the smallest of its class, unchanged."""
+    """One row of each class, that of its smallest id, unchanged; rows that repeat an id are one document."""
     kept = near_duplicate_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])

@@ -47,7 +47,9 @@ class Block:
     """The documents of a block in id order, their anchors and the anchors' surroundings."""
 
     def __init__(self, table: pa.Table, roster: np.ndarray):
-        table = table.filter(pa.array(is_first(table, roster))).sort_by("doc_id")
+        table = table.filter(pa.array(is_first(table, roster)))
+        table = table.take(pc.sort_indices(table["doc_id"]))
+        self.table = table
         self.ids = table["doc_id"].to_numpy()
         self.data, self.at = byte_hash.bytes_of(table["text"])
         self._anchors()
@@ -237,6 +239,23 @@ _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 
 
 def _remove(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.Table:
+    block, copies, (removed, spans, kept) = _removed(table, marks)
+    ids = pa.concat_tables([block.table.select(["doc_id"]), copies.select(["doc_id"])])["doc_id"].to_numpy()
+    sizes = [len(k) + r for k, r in zip(kept, removed)]
+    numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)]
+    return pa.table([pa.array(ids, pa.int64(), mask=ids == NULL_ID), *numbers, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def _rewrite(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.Table:
+    """The rows with what is left of their texts; characters that lost a byte go with it."""
+    block, copies, (_, _, kept) = _removed(table, marks)
+    rows = pa.concat_tables([block.table.select(["row"]), copies.select(["row"])])["row"]
+    rows = rows.cast(pa.struct([f.with_nullable(True) for f in rows.type]))
+    return pa.table([rows, pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], ["row", "text"])
+
+
+def _removed(table: pa.Table, marks: pa.Table) -> tuple[Block, pa.Table, tuple[list, list, list]]:
+    """The block, the exact copies left out of it, and for both in that order the removed bytes, spans and kept bytes."""
     own = marks["marks"].is_null()
     roster, _ = unpack(marks.filter(own)["around"], "<u8")
     marks = marks.filter(pc.invert(own))
@@ -257,7 +276,7 @@ def _remove(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.
     some = np.flatnonzero(later | (mine > 0))
     starts, whole = block.where[some], later[some]
     marked, before, after = mine[some], left[some], right[some]
-    sizes, removed, spans, kept = np.diff(block.at), np.zeros(len(block.ids), np.int64), np.zeros(len(block.ids), np.int64), []
+    removed, spans, kept = np.zeros(len(block.ids), np.int64), np.zeros(len(block.ids), np.int64), []
     for d, (a, b) in enumerate(zip(block.at[:-1], block.at[1:])):
         x, y = np.searchsorted(starts, (a, b))
         if x == y:
@@ -277,20 +296,32 @@ def _remove(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.
     whole = np.diff(at)
     covered = np.where(whole >= WINDOW, whole, 0)
     kept += [b"" if c else data[a : a + n].tobytes() for a, n, c in zip(at[:-1], whole, covered)]
-    ids = np.concatenate([block.ids, copies["doc_id"].to_numpy()])
-    numbers = [np.concatenate(x) for x in ((sizes, whole), (removed, covered), (spans, (covered > 0).astype(np.int64)))]
-    return pa.table([pa.array(ids, pa.int64(), mask=ids == NULL_ID), *(pa.array(x, pa.int64()) for x in numbers), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    return block, copies, ([*removed.tolist(), *covered.tolist()], [*spans.tolist(), *(covered > 0).astype(int).tolist()], kept)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept, the bytes of each text that are left."""
-    placed, blocks = blocked(docs, block_bytes)
+def _marked(placed: DataFrame, blocks: int):
+    """The texts by block, and what of them smaller documents hold."""
     buckets = max(4, blocks)
     texts = placed.groupBy("block")
     ranked = texts.cogroup(firsts(placed, blocks).groupBy("block")).applyInArrow(_send_ranks(buckets), KEYS).groupBy("bucket").applyInArrow(_repeated, "block int, bucket int, hits binary")
     sent = texts.cogroup(ranked.groupBy("block")).applyInArrow(_send_surroundings(buckets), _SURROUNDINGS)
-    marks = sent.groupBy("bucket").applyInArrow(_rank_windows, _MARKS)
-    return texts.cogroup(marks.groupBy("block")).applyInArrow(_remove, _RESULT)
+    return texts, sent.groupBy("bucket").applyInArrow(_rank_windows, _MARKS).groupBy("block")
+
+
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept, the bytes of each text that are left."""
+    texts, marks = _marked(*blocked(docs, block_bytes))
+    return texts.cogroup(marks).applyInArrow(_remove, _RESULT)
+
+
+def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same rows and columns with repeats taken out of ``text``, and ``n_chars`` recounted if there. Null texts stay null."""
+    placed, blocks = blocked(docs, block_bytes, carry=True)
+    texts, marks = _marked(placed, blocks)
+    out = texts.cogroup(marks).applyInArrow(_rewrite, f"row {placed.schema['row'].dataType.simpleString()}, text string")
+    text = F.when(~F.col("row.__null"), F.col("text"))
+    column = lambda c: text if c == "text" else F.when(F.col("row.__null"), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema[c].dataType)) if c == "n_chars" else F.col("row").getField(c)
+    return out.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def digest(removed: DataFrame) -> DataFrame:
