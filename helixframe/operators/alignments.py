@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.sequence import cigar_stats
 
 INSERT_BIN = 500
-_ONE = F.lit(1)
 
 
 def _sum(c: Column) -> Column:
@@ -23,16 +22,16 @@ def alignment_stats(records: DataFrame) -> DataFrame:
     """A record is mapped when its mapping quality is above 0, whatever its flag."""
     q = F.col("mapping_quality")
     mapped = F.count_if(q > 0)
-    return records.agg(F.count(_ONE).alias("total_records"), mapped.alias("mapped_reads"), (F.count(_ONE) - mapped).alias("unmapped_reads"), _ratio(_sum(F.when(q > 0, q)), mapped, 2).alias("mean_mapq"))
+    return records.agg(F.count(F.lit(1)).alias("total_records"), mapped.alias("mapped_reads"), (F.count(F.lit(1)) - mapped).alias("unmapped_reads"), _ratio(_sum(F.when(q > 0, q)), mapped, 2).alias("mean_mapq"))
 
 
 def mapq_distribution(records: DataFrame) -> DataFrame:
-    return records.groupBy(F.col("mapping_quality").alias("mapq")).agg(F.count(_ONE).alias("records"))
+    return records.groupBy(F.col("mapping_quality").alias("mapq")).agg(F.count(F.lit(1)).alias("records"))
 
 
 def cigars(records: DataFrame) -> DataFrame:
     """Distinct CIGAR strings with their records, parsed once each."""
-    counted = records.groupBy("cigar").agg(F.count(_ONE).alias("records"))
+    counted = records.groupBy("cigar").agg(F.count(F.lit(1)).alias("records"))
     return counted.select("cigar", "records", *(c.alias(n) for n, c in cigar_stats().items()))
 
 
@@ -60,8 +59,8 @@ def soft_clipping(records: DataFrame) -> DataFrame:
 def insert_size(records: DataFrame) -> DataFrame:
     """Records with a positive template length are the pairs."""
     t = F.col("template_length").cast("bigint")
-    return records.filter("template_length > 0").agg(F.count(_ONE).alias("pairs_analyzed"), F.coalesce(F.min(t), F.lit(0)).alias("min_insert"), F.coalesce(F.max(t), F.lit(0)).alias("max_insert"), _ratio(_sum(t), F.count(_ONE), 2).alias("mean_insert"))
+    return records.filter("template_length > 0").agg(F.count(F.lit(1)).alias("pairs_analyzed"), F.coalesce(F.min(t), F.lit(0)).alias("min_insert"), F.coalesce(F.max(t), F.lit(0)).alias("max_insert"), _ratio(_sum(t), F.count(F.lit(1)), 2).alias("mean_insert"))
 
 
 def insert_size_hist(records: DataFrame, width: int = INSERT_BIN) -> DataFrame:
-    return records.filter("template_length > 0").groupBy(F.expr(f"cast(template_length div {int(width)} as int)").alias("bin")).agg(F.count(_ONE).alias("pairs"))
+    return records.filter("template_length > 0").groupBy(F.expr(f"cast(template_length div {int(width)} as int)").alias("bin")).agg(F.count(F.lit(1)).alias("pairs"))

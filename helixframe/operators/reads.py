@@ -10,7 +10,6 @@ from ..functions.sequence import base_counts, entropy, gc_bin, invalid_bases, km
 
 LENGTH_CAP, QUALITY_POSITIONS, QUALITY_CAP = 999, 512, 93
 BASE_POSITIONS, BASE_QUALITY_CAP, DECAY_POSITIONS, N50_CAP = 1000, 40, 10_000, 29_999
-_ONE = F.lit(1)
 
 
 def _sum(c: Column) -> Column:
@@ -31,9 +30,9 @@ def fused(reads: DataFrame) -> DataFrame:
     """All scalar figures of the default report, in one pass."""
     total = _sum(F.col("len"))
     return per_read(reads).agg(
-        F.count(_ONE).alias("total_reads"), total.alias("total_bases"),
+        F.count(F.lit(1)).alias("total_reads"), total.alias("total_bases"),
         F.coalesce(F.min("len"), F.lit(0)).alias("min_length"), F.coalesce(F.max("len"), F.lit(0)).alias("max_length"),
-        _ratio(total, F.count(_ONE), 2).alias("mean_length"), _sum(F.col("bad")).alias("integrity_violations"),
+        _ratio(total, F.count(F.lit(1)), 2).alias("mean_length"), _sum(F.col("bad")).alias("integrity_violations"),
         *(_sum(F.col(b)).alias(f"{b}_count") for b in "acgtn"), _ratio(_sum(F.col("n")), total, 4).alias("n_ratio"),
     )
 
@@ -57,11 +56,11 @@ def integrity(reads: DataFrame) -> DataFrame:
 
 def gc_distribution(reads: DataFrame) -> DataFrame:
     """bin (percent 0 to 100) and reads; empty reads are left out, N counts in the denominator."""
-    return per_read(reads).filter("len > 0").groupBy(gc_bin(F.col("g") + F.col("c"), F.col("len")).alias("bin")).agg(F.count(_ONE).alias("reads"))
+    return per_read(reads).filter("len > 0").groupBy(gc_bin(F.col("g") + F.col("c"), F.col("len")).alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 def length_distribution(reads: DataFrame) -> DataFrame:
-    return reads.groupBy(F.least(F.length("seq"), F.lit(LENGTH_CAP)).alias("bin")).agg(F.count(_ONE).alias("reads"))
+    return reads.groupBy(F.least(F.length("seq"), F.lit(LENGTH_CAP)).alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 def _positions(reads: DataFrame, column: str, limit: int) -> DataFrame:
@@ -72,7 +71,7 @@ def _positions(reads: DataFrame, column: str, limit: int) -> DataFrame:
 
 def _phred_matrix(reads: DataFrame, positions: int, cap: int) -> DataFrame:
     """Characters are counted first, so that Phred values are computed on groups."""
-    counted = _positions(reads, "qual", positions).groupBy("pos", "char").agg(F.count(_ONE).alias("n"))
+    counted = _positions(reads, "qual", positions).groupBy("pos", "char").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("pos", F.least(phred(F.col("char")), F.lit(cap)).alias("phred")).agg(_sum(F.col("n")).alias("reads"))
 
 
@@ -92,18 +91,18 @@ def heatmap_intensity(reads: DataFrame) -> DataFrame:
 
 
 def quality_decay(reads: DataFrame) -> DataFrame:
-    counted = _positions(reads, "qual", DECAY_POSITIONS).groupBy("pos", "char").agg(F.count(_ONE).alias("n"))
+    counted = _positions(reads, "qual", DECAY_POSITIONS).groupBy("pos", "char").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("pos").agg(_ratio(F.sum(phred(F.col("char")) * F.col("n")), F.sum("n"), 4).alias("mean_phred"))
 
 
 def per_base_composition(reads: DataFrame) -> DataFrame:
-    return _positions(reads.select(normalized("seq").alias("seq")), "seq", BASE_POSITIONS).groupBy("pos", F.col("char").alias("base")).agg(F.count(_ONE).alias("reads"))
+    return _positions(reads.select(normalized("seq").alias("seq")), "seq", BASE_POSITIONS).groupBy("pos", F.col("char").alias("base")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 def qc_summary(reads: DataFrame) -> DataFrame:
     phreds = _sum(phred_sum("qual"))
     bases = _sum(F.length("seq"))
-    return reads.agg(F.count(_ONE).alias("total_reads"), bases.alias("total_bases"), _ratio(phreds, bases, 4).alias("mean_quality"))
+    return reads.agg(F.count(F.lit(1)).alias("total_reads"), bases.alias("total_bases"), _ratio(phreds, bases, 4).alias("mean_quality"))
 
 
 def gc_content(reads: DataFrame) -> DataFrame:
@@ -112,7 +111,7 @@ def gc_content(reads: DataFrame) -> DataFrame:
 
 def length_summary(reads: DataFrame) -> DataFrame:
     n = F.length("seq").cast("bigint")
-    return reads.agg(_ratio(_sum(n), F.count(_ONE), 2).alias("mean_length"), F.coalesce(F.min(n), F.lit(0)).alias("min_length"), F.coalesce(F.max(n), F.lit(0)).alias("max_length"))
+    return reads.agg(_ratio(_sum(n), F.count(F.lit(1)), 2).alias("mean_length"), F.coalesce(F.min(n), F.lit(0)).alias("min_length"), F.coalesce(F.max(n), F.lit(0)).alias("max_length"))
 
 
 _EDGES = (100, 500, 1000, 5000, 10_000)
@@ -123,12 +122,12 @@ def length_bins(reads: DataFrame) -> DataFrame:
     label = F.lit(f">={_EDGES[-1]}")
     for edge in reversed(_EDGES):
         label = F.when(n < edge, f"<{edge}").otherwise(label)
-    return reads.groupBy(label.alias("bin")).agg(F.count(_ONE).alias("reads"))
+    return reads.groupBy(label.alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 def _length_walk(reads: DataFrame) -> DataFrame:
     """Distinct capped lengths with their bases, running from the longest; at most ``N50_CAP`` + 1 rows in the window."""
-    lengths = reads.groupBy(F.least(F.length("seq"), F.lit(N50_CAP)).cast("bigint").alias("len")).agg(F.count(_ONE).alias("n"))
+    lengths = reads.groupBy(F.least(F.length("seq"), F.lit(N50_CAP)).cast("bigint").alias("len")).agg(F.count(F.lit(1)).alias("n"))
     down = W.orderBy(F.desc("len"))
     return lengths.select("len", F.sum(F.col("len") * F.col("n")).over(down).alias("cum"), F.sum("n").over(down).alias("reads"), F.sum(F.col("len") * F.col("n")).over(W.partitionBy()).alias("total"))
 
@@ -151,11 +150,11 @@ def entropy_stats(reads: DataFrame, low: float = 1.5) -> DataFrame:
 
 def sequence_counts(reads: DataFrame) -> DataFrame:
     """Each distinct normalized sequence with its reads; partial counts run before the shuffle, which absorbs hot sequences."""
-    return reads.groupBy(normalized("seq").alias("sequence")).agg(F.count(_ONE).alias("reads"))
+    return reads.groupBy(normalized("seq").alias("sequence")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 def duplication(reads: DataFrame) -> DataFrame:
-    total, distinct = _sum(F.col("reads")), F.count(_ONE)
+    total, distinct = _sum(F.col("reads")), F.count(F.lit(1))
     return sequence_counts(reads).agg(total.alias("total_reads"), (total - distinct).alias("duplicate_reads"), _ratio(total - distinct, total, 4).alias("duplication_ratio"))
 
 
@@ -166,7 +165,7 @@ def duplication_warning(reads: DataFrame, warn_above: float = 0.2) -> DataFrame:
 def overrepresented(reads: DataFrame) -> DataFrame:
     """Distinct sequences and the most frequent one, the first in order among equals."""
     first = F.min_by("sequence", F.struct(-F.col("reads"), "sequence"))
-    return sequence_counts(reads).agg(F.count(_ONE).alias("unique_sequences"), F.coalesce(first, F.lit("None")).alias("most_frequent"), F.coalesce(F.max("reads"), F.lit(0)).alias("most_frequent_count"))
+    return sequence_counts(reads).agg(F.count(F.lit(1)).alias("unique_sequences"), F.coalesce(first, F.lit("None")).alias("most_frequent"), F.coalesce(F.max("reads"), F.lit(0)).alias("most_frequent_count"))
 
 
 def overrepresented_top(reads: DataFrame, top: int = 20) -> DataFrame:
@@ -176,12 +175,12 @@ def overrepresented_top(reads: DataFrame, top: int = 20) -> DataFrame:
 def kmer_counts(reads: DataFrame, k: int = 5) -> DataFrame:
     """k-mers without N, with their base-4 number and count."""
     exploded = reads.select(F.explode(kmers(normalized("seq"), k)).alias("kmer"))
-    counted = exploded.groupBy("kmer").agg(F.count(_ONE).alias("occurrences")).filter(~F.contains("kmer", F.lit("N")))
+    counted = exploded.groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences")).filter(~F.contains("kmer", F.lit("N")))
     return counted.select("kmer", kmer_id(F.col("kmer")).alias("kmer_index"), "occurrences") if k <= 31 else counted
 
 
 def kmer_total(reads: DataFrame, k: int = 5) -> DataFrame:
-    return kmer_counts(reads, k).agg(_sum(F.col("occurrences")).alias("total_kmers"), F.count(_ONE).alias("distinct_kmers"))
+    return kmer_counts(reads, k).agg(_sum(F.col("occurrences")).alias("total_kmers"), F.count(F.lit(1)).alias("distinct_kmers"))
 
 
 def kmer_spectrum_top3(reads: DataFrame, k: int = 5) -> DataFrame:
@@ -208,10 +207,10 @@ def taxonomic_screening(reads: DataFrame, signatures: DataFrame, k: int = 16) ->
     is below Spark's broadcast threshold; otherwise the join shuffles.
     """
     numbered = reads.select("id", F.explode(F.array_distinct(kmers(normalized("seq"), k))).alias("kmer"))
-    votes = numbered.join(signatures.select("taxon", "kmer").distinct(), "kmer").groupBy("id", "taxon").agg(F.count(_ONE).alias("v"))
+    votes = numbered.join(signatures.select("taxon", "kmer").distinct(), "kmer").groupBy("id", "taxon").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("id").agg(F.min_by("taxon", F.struct(-F.col("v"), "taxon")).alias("taxon"))
-    called = best.groupBy("taxon").agg(F.count(_ONE).alias("reads"))
-    total = reads.agg(F.count(_ONE).alias("total"))
+    called = best.groupBy("taxon").agg(F.count(F.lit(1)).alias("reads"))
+    total = reads.agg(F.count(F.lit(1)).alias("total"))
     unknown = total.join(called.agg(_sum(F.col("reads")).alias("known")), how="cross").select(F.lit("Unknown").alias("taxon"), (F.col("total") - F.col("known")).alias("reads"))
     return called.union(unknown)
 
@@ -224,7 +223,7 @@ def taxon_composition(counts: DataFrame) -> DataFrame:
 
 def quality_bands(reads: DataFrame) -> DataFrame:
     """Shares of bases below 20, below 30 and from 30 on."""
-    cells = _positions(reads, "qual", 1 << 30).groupBy("char").agg(F.count(_ONE).alias("n")).select(phred(F.col("char")).alias("q"), "n")
+    cells = _positions(reads, "qual", 1 << 30).groupBy("char").agg(F.count(F.lit(1)).alias("n")).select(phred(F.col("char")).alias("q"), "n")
     band = F.when(F.col("q") < 20, "<20").when(F.col("q") < 30, "<30").otherwise(">=30")
     return cells.groupBy(band.alias("band")).agg(_sum(F.col("n")).alias("bases"))
 
