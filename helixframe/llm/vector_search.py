@@ -5,8 +5,9 @@ scalars: its length and how well the code stands for it (their inner product).
 They give an unbiased estimate of an inner product and a bound of its error, which
 falls with the square root of the dimension. For each query the candidates with
 the best estimates are scored on the original vectors first; then every candidate
-whose estimate plus ``BOUND`` standard errors reaches the k-th score is too. The
-rotation is made from a seed, nothing is fitted, and every vector is coded.
+whose estimate plus ``BOUND`` standard errors reaches the k-th score is too, in
+single precision, and those at or near the k-th in double. The rotation is made
+from a seed, nothing is fitted, and every vector is coded.
 
 Vectors and queries are packed into blocks; each pair of blocks is a task's work,
 and the nearest of each meet in one ranking. Vectors that are null, zero or hold
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, partitions_of
 
 K, BOUND, SEED = 20, 3.0, 20240517
-VECTORS, QUERIES = 16_384, 8_192
-_AT_ONCE = 64
+VECTORS, QUERIES = 65_536, 4_096
+#: Queries at a time, and candidates of the best estimates that set a query's first limit.
+_AT_ONCE, _FIRST = 32, 128
 
 
 @lru_cache(maxsize=4)
@@ -54,26 +56,32 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
     scale = (norms / fits).astype(np.float32)
     error = (bound * norms * np.sqrt(np.maximum(0.0, 1 - fits**2)) / fits / math.sqrt(max(1, dim - 1))).astype(np.float32)
+    near = vectors.astype(np.float32)
+    # How far a single-precision product may lie from the exact one.
+    slack = np.float32(dim * 2.0**-23) * np.float32(norms.max(initial=0.0))
+    order = np.argsort(ids, kind="stable")
+    own = order[np.minimum(np.searchsorted(ids[order], query_ids), len(ids) - 1)]
+    own = np.where(ids[own] == query_ids, own, -1)
     out: list[list[np.ndarray]] = [[], [], []]
     for lo in range(0, len(queries), _AT_ONCE):
-        q = queries[lo : lo + _AT_ONCE]
-        turned = (q @ rotation(dim, seed).T).astype(np.float32)
-        length = np.sqrt(np.einsum("ij,ij->i", q, q)).astype(np.float32)
-        guess = (turned @ signs.T) * scale
-        guess[query_ids[lo : lo + len(q), None] == ids[None, :]] = -np.inf
-        first = np.argpartition(-guess, k, axis=1)[:, : k + 1] if guess.shape[1] > k + 1 else np.tile(np.arange(guess.shape[1]), (len(q), 1))
-        rows = np.repeat(np.arange(len(q)), first.shape[1])
-        exact = np.einsum("ij,ij->i", q[rows], vectors[first.ravel()]).reshape(first.shape)
-        exact[~np.isfinite(np.take_along_axis(guess, first, 1))] = -np.inf
-        reach = np.sort(exact, axis=1)[:, -k] if exact.shape[1] >= k else np.full(len(q), -np.inf)
-        r, c = np.nonzero((guess + error * length[:, None] >= reach[:, None].astype(np.float32) - np.float32(1e-6)) & np.isfinite(guess))
-        score = np.concatenate([np.einsum("ij,ij->i", q[r[i : i + 65536]], vectors[c[i : i + 65536]]) for i in range(0, len(r), 65536)]) if len(r) else np.empty(0)
-        order = np.lexsort((ids[c], -score, r))
-        r, c, score = r[order], c[order], score[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        top = rank < k
-        for column, value in zip(out, (r[top] + lo, c[top], score[top])):
-            column.append(value)
+        turned = (queries[lo : lo + _AT_ONCE] @ rotation(dim, seed).T).astype(np.float32)
+        guesses = (turned @ signs.T) * scale
+        for i, guess in enumerate(guesses, lo):
+            q = queries[i]
+            q32, length = q.astype(np.float32), np.float32(math.sqrt(q @ q))
+            if own[i] >= 0:
+                guess[own[i]] = -np.inf
+            first = np.argpartition(-guess, _FIRST)[:_FIRST] if len(guess) > _FIRST else np.arange(len(guess))
+            first = first[np.isfinite(guess[first])]
+            reach = np.sort(near[first] @ q32)[-k] if len(first) >= k else -np.inf
+            c = np.flatnonzero((guess + error * length >= reach - slack * length) & (guess > -np.inf))
+            score = near[c] @ q32
+            if len(c) > k:
+                c = c[score >= np.partition(score, -k)[-k] - 2 * slack * length]
+            exact = np.einsum("ij,j->i", vectors[c], q)
+            top = np.lexsort((ids[c], -exact))[:k]
+            for column, value in zip(out, (np.full(len(top), i), c[top], exact[top])):
+                column.append(value)
     return [np.concatenate(x) if x else np.empty(0) for x in out]
 
 
@@ -107,7 +115,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     usable = "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)"
     clean = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable).withColumn("dim", F.size("v"))
     total, asked = clean.agg(F.count(F.lit(1)), F.count_if(is_query(F.col("vec_id")))).first()
-    blocks, q_blocks = max(1, math.ceil(total / VECTORS)), max(1, math.ceil(asked / QUERIES))
+    blocks = max(1, math.ceil(total / VECTORS))
+    # Few vectors still give every task a share of the queries.
+    q_blocks = max(1, math.ceil(asked / QUERIES), min(math.ceil(asked / 128), math.ceil(partitions_of(spark) / blocks)))
     at = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     packed = clean.withColumn("block", at(blocks)).groupBy("dim", "block").applyInArrow(_pack_vectors, "dim int, block int, ids binary, vectors binary, codes binary, norms binary, fits binary")
     queries = clean.filter(is_query(F.col("vec_id"))).withColumn("q_block", at(q_blocks)).groupBy("dim", "q_block").applyInArrow(_pack_queries, "dim int, q_block int, q_ids binary, q_vectors binary")
