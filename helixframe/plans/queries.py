@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,8 @@ from ..operators import alignments as A
 from ..operators import reads as R
 from ..operators import sketches as S
 from ..operators import transforms as T
+from ..sources.fastq import read_fastq, write_fastq
+from ..streaming.telemetry import Session
 from .derived import ALIGNMENTS_SQL, DOCUMENT_READS_SQL, READS_SQL, alignments, document_reads, reads
 
 ADAPTER, FRONT, TAIL, MIN_QUALITY, REFERENCE = "ACGT", 2, 3, 28.0, 3_000_000
@@ -150,3 +154,32 @@ def _bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("bloom_filter", _bloom, "select count(distinct l_quantity::bigint) as distinct_values, 0::bigint as missed from lineitem where l_quantity <= 25")
+
+
+def _scratch(spark: SparkSession, kind: str) -> str:
+    """A new path below the session's shared folder, or a local one where it names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(named or tempfile.mkdtemp(prefix='helixframe-')).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def _fastq_scan(compression: str) -> Query:
+    """Write the reads as FASTQ files and scan them back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        write_fastq(reads(spark, sf_dir), path := _scratch(spark, "fastq"), compression)
+        return R.basic_stats(read_fastq(spark, path, columns="seq"))
+
+    return query
+
+
+def _live_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar live view after a stream has taken in all reads."""
+    reads(spark, sf_dir).write.parquet(path := _scratch(spark, "stream"))
+    live = Session(spark, path, kind="parquet", views=("scalars",), name=f"live_{uuid.uuid4().hex}").start(once=True)
+    live.queries[0].awaitTermination()
+    return live.table("scalars")
+
+
+_add("fastq_scan", _fastq_scan("none"), ORACLE_SQL["basic_stats"])
+_add("fastq_scan_gzip", _fastq_scan("gzip"), ORACLE_SQL["basic_stats"])
+_add("live_telemetry", _live_telemetry, _with(_BASES) + 'select count(*) as read_count, sum(len)::bigint as total, sum(g+c)::bigint as gc, sum(a+t)::bigint as "at", sum(n)::bigint as n from b')
