@@ -20,7 +20,7 @@ import pyarrow as pa
 from . import byte_hash
 
 #: Words that a worker remembers before it starts anew, which bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # The word pattern and the normalizers that the fast path stands for.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -56,7 +56,11 @@ class Tokens:
             said = json.load(f)
         steps = (said.get("normalizer") or {}).get("normalizers", [])
         splits = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.fast = [x["type"] for x in steps] == NORMALIZERS and splits[0].get("pattern", {}).get("Regex") == PATTERN
+        end = said["model"].get("end_of_word_suffix")
+        self.fast = [x["type"] for x in steps] == NORMALIZERS and splits[0].get("pattern", {}).get("Regex") == PATTERN and bool(end)
+        self.ends_word = np.zeros(self.size, bool)
+        if self.fast:
+            self.ends_word[[i for word, i in said["model"]["vocab"].items() if word.endswith(end)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -67,10 +71,10 @@ class Tokens:
         """Append the ids of new words to the pool."""
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.asarray(got.ids, np.uint32), np.asarray([-1 if w is None else w for w in got.word_ids])
-            counts = np.bincount(owner[owner >= 0], minlength=len(part))
-            if len(counts) != len(part) or (owner < 0).any():
+            # Offsets aren't needed: the last id of a word, and no other, has the end-of-word sign.
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            counts = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+            if len(counts) != len(part) or counts.sum() != len(ids):
                 raise ValueError("the tokenizer cuts words otherwise than its pattern says")
             if self.filled + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), np.uint32)])
