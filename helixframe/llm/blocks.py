@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import byte_hash
 from .common import text_of
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Stands for a null id within blocks; it sorts before all others.
 NULL_ID = -(1 << 63)
 KEYS = "block int, bucket int, keys binary, more binary"
@@ -43,6 +43,11 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False
     return kept.select("doc_id", "text", *(["row"] if carry else []), F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2"), block.alias("block")), count
 
 
+def buckets_of(blocks: int) -> int:
+    """A bucket has the keys of two blocks, so that packed arrays shrink more slowly than blocks grow in number."""
+    return max(4, blocks // 2)
+
+
 def firsts(placed: DataFrame, count: int) -> DataFrame:
     """rep, rep_h and block of the document with the smallest id of each distinct text; other documents are exact copies."""
     least = placed.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("rep"))

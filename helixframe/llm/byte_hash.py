@@ -39,6 +39,7 @@ def _folded() -> np.ndarray:
     return v
 
 
+_TOGETHER = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -96,17 +97,32 @@ def _blank() -> np.ndarray:
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes (A-Z folded) of all words, and the n + 1 offsets of each text's words among them."""
+    """Starts, ends and hashes (A-Z folded) of all words, and the n + 1 offsets of each text's words among them.
+
+    Whole texts are taken together up to about ``_TOGETHER`` bytes, which bounds what is held at once.
+    """
+    starts, ends, hashes, i = [], [], [], 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + _TOGETHER, side="right")) - 1)
+        a, b, h = _words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        starts.append(a + at[i])
+        ends.append(b + at[i])
+        hashes.append(h)
+        i = j
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    found = join(starts, np.int64)
+    return found, join(ends, np.int64), join(hashes, np.uint64), np.searchsorted(found, at)
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~_blank()[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
-    begins, ends = solid.copy(), solid
+    begins, last = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1] | edge[1:-1]
-    last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(last) + 1
-    hashes = ranges(prefix(data, True), starts, ends) if len(starts) else np.empty(0, np.uint64)
-    return starts, ends, hashes, np.searchsorted(starts, at)
+    return starts, ends, ranges(prefix(data, True), starts, ends) if len(starts) else np.empty(0, np.uint64)
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

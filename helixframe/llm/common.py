@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,40 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def settle(rows: DataFrame, kind: str, files: int) -> DataFrame:
+    """Write rows to the shared folder as so many files at most, and read them back: lineage ends here.
+
+    Small intermediate results would otherwise be as many tiny files as the
+    session has shuffle partitions. ``files`` is to follow the input.
+    """
+    rows.coalesce(max(1, files)).write.parquet(path := shared_path(rows.sparkSession, kind))
+    return rows.sparkSession.read.parquet(path)
+
+
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of an Arrow batch, so that long texts bound memory too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Give what a Python worker has freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
+def released(run):
+    """A generator that releases memory when it ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))

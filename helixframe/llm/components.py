@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import settle
 
+_EDGES_PER_FILE = 200_000
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, files: int = 8) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the edges u, v.
 
+    ``files`` bounds the first file count; later ones follow the edges.
+
     Edges are written to the shared folder after each round, which cuts lineage;
     only a count and a checksum come to the driver, to see that nothing changed.
     Self-loops and repeated edges do no harm; no edges give no rows.
     """
-    spark = edges.sparkSession
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
     before = None
     while True:
-        now.write.parquet(path := shared_path(spark, "stars"))
-        now = spark.read.parquet(path)
+        now = settle(now, "stars", files)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 24)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             break
         before = state
+        files = 1 + state[0] // _EDGES_PER_FILE
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

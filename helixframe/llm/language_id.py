@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_text
+from .common import arrow_rows, id_and_text, release, released
 
 BLOCK = 1024
 EXCERPT = 512
 HELD_OUT = 2
 #: Symbols: 0 a blank, 1 any letter outside the alphabet, then the alphabet, last the padding.
-ALPHABET = 61
+ALPHABET = 45
 SIZE = ALPHABET + 3
-_GROUP = 2_000_000
+_GROUP = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,7 +46,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_chars: int = 40_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
+def learn(docs: DataFrame, sample_chars: int = 16_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
     """The model: for each language, its label and the sampled text, both bounded.
 
     A first pass estimates each label's distinct texts, a second collects those
@@ -122,18 +122,19 @@ class Parser:
             symbols = self.symbols(text)
             nexts, _ = automaton(symbols.tolist())
             n = len(nexts)
-            state = np.repeat(np.arange(n), [len(x) for x in nexts])
-            symbol = np.fromiter((c for x in nexts for c in x), np.int64)
-            target = np.fromiter((t for x in nexts for t in x.values()), np.int64)
-            step = np.full((n, SIZE), -1, np.int64)
+            state = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in nexts])
+            symbol = np.fromiter((c for x in nexts for c in x), np.int32)
+            target = np.fromiter((t for x in nexts for t in x.values()), np.int32)
+            del nexts
+            step = np.full((n, SIZE), -1, np.int32)
             step[state, symbol] = target
             root = step[0].copy()
             # Without a transition the phrase ends and the next begins at the root; a symbol unknown there is a phrase of its own.
             restart = np.where(root >= 0, (root + base) << 2 | 1, base << 2 | 2)
             full = np.where(step >= 0, (step + base) << 2, restart[None, :])
             full[0] = np.where(root >= 0, (root + base) << 2, base << 2 | 1)
-            full[:, SIZE - 1] = (np.arange(n) + base) << 2
-            parts.append(full.astype(np.int32))
+            full[:, SIZE - 1] = (np.arange(n, dtype=np.int32) + base) << 2
+            parts.append(full)
             roots.append(base)
             bits.append(np.log2(max(2, len(symbols))))
             base += n
@@ -205,12 +206,14 @@ class Parser:
 @lru_cache(maxsize=2)
 def parser(model: tuple[tuple[str, str], ...]) -> Parser:
     """Built once per Python worker."""
-    return Parser(model)
+    built = Parser(model)
+    release()
+    return built
 
 
 def identify(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits (the cross entropy) of each whole text."""
-    arrow_rows(docs.sparkSession, 512)
+    arrow_rows(docs.sparkSession)
     kept = id_and_text(docs)
 
     def run(batches):
@@ -220,13 +223,13 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits"])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    out = kept.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double")
+    out = kept.mapInArrow(released(run), f"doc_id {kind}, lang_pred string, score double, bits double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
 def keep_identified(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
     """The rows whose text has a language, unchanged but for a missing ``lang``, which is filled in."""
-    arrow_rows(docs.sparkSession, 512)
+    arrow_rows(docs.sparkSession)
     names, at, lang = docs.columns, docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches):
@@ -237,7 +240,7 @@ def keep_identified(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> Data
                 columns[lang] = pa.array([x if x is not None else y for x, y in zip(columns[lang].to_pylist(), labels)], columns[lang].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != "und" for x in labels]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def learn_and_identify(docs: DataFrame, **bounds: int) -> DataFrame:

@@ -34,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
-from .blocks import BLOCK_BYTES, KEYS, NULL_ID, TEXT_KEY, blocked, firsts, is_first, key_rows, pack, pair_keys, roster_of, split_keys, unpack
-from .common import arrow_rows, join_hot, shared_path
+from .blocks import BLOCK_BYTES, KEYS, NULL_ID, TEXT_KEY, blocked, buckets_of, firsts, is_first, key_rows, pack, pair_keys, roster_of, split_keys, unpack
+from .common import arrow_rows, join_hot, release, released, settle, shared_path
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
+_NODES_PER_FILE = 50_000
 
 class Sets:
     """The shingle sets of the texts in a block that stand for themselves and their copies."""
@@ -58,6 +59,7 @@ class Sets:
         new[1:] = shingles[1:] != shingles[:-1]
         new[at[:-1][at[:-1] < len(new)]] = True
         self.values, self.at = shingles[new], np.concatenate([[0], np.cumsum(new)])[at]
+        release()
 
 
 def _send_shingles(buckets: int):
@@ -89,6 +91,7 @@ def _frequencies(buckets: int):
         rank = np.where(total < 128, total, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(total, 128) / 128)))).astype(np.uint8)
         out = np.empty(len(keys), np.uint8)
         out[order] = rank[np.cumsum(new) - 1]
+        release()
         return pa.table([table["block"], table["bucket"], pack(out, at)], ["block", "bucket", "keys"])
 
     return run
@@ -132,7 +135,7 @@ def _order_sets(buckets: int):
 def ordered_sets(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """One row per distinct text with its set's size and shared prefix, written to the shared folder; and doc_id with its text's key."""
     placed, blocks = blocked(docs, block_bytes)
-    buckets = max(4, blocks)
+    buckets = buckets_of(blocks)
     texts = placed.groupBy("block")
     sent = texts.cogroup(firsts(placed, blocks).groupBy("block")).applyInArrow(_send_shingles(buckets), KEYS)
     answers = sent.groupBy("bucket").applyInArrow(_frequencies(buckets), "block int, bucket int, keys binary")
@@ -165,34 +168,27 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs u, v whose whole sets reach the similarity."""
     sets = nodes.filter("shingles is not null").select("doc_id", "shingles")
     x, y = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_overlaps, "u bigint, v bigint")
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(released(_overlaps), "u bigint, v bigint")
 
 
 def classes(nodes: DataFrame) -> DataFrame:
     """node, component of every distinct text that links to another."""
-    spark = nodes.sparkSession
-    arrow_rows(spark)
+    arrow_rows(nodes.sparkSession)
+    files = 2 + nodes.count() // _NODES_PER_FILE
     shared = nodes.filter("size(tokens) > 0").select("doc_id", "n", "tokens", "places", F.xxhash64("tokens", "places").alias("prefix"))
     groups = shared.groupBy("n", "prefix").agg(F.min("doc_id").alias("g"))
-    members = shared.select("doc_id", "n", "prefix").join(groups, ["n", "prefix"]).select("doc_id", "g")
-    members.write.parquet(path := shared_path(spark, "members"))
-    members = spark.read.parquet(path)
+    members = settle(shared.select("doc_id", "n", "prefix").join(groups, ["n", "prefix"]).select("doc_id", "g"), "members", files)
     heads = shared.join(members.filter("doc_id = g").select("doc_id", "g"), "doc_id")
     entries = heads.select("g", "n", F.get("places", F.lit(0)).alias("alone"), F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("g", "n", "alone", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    entries.write.parquet(path := shared_path(spark, "entries"))
-    entries = spark.read.parquet(path)
+    entries = settle(entries, "entries", 4 * files)
 
     best = entries.groupBy("token").agg(F.min(F.struct("alone", "g", "n", "place")).alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", F.col("b.g").alias("g"), F.col("b.n").alias("n"), F.col("b.place").alias("place"))
     first = entries.alias("a").join(best.alias("b"), "token").filter((F.col("a.g") != F.col("b.g")) & _can_link("a", "b")).select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct()
     within = members.filter("doc_id != g").select(F.col("doc_id").alias("u"), F.col("g").alias("v"))
-    verified(first.union(within), nodes).write.parquet(path := shared_path(spark, "links"))
-    links = spark.read.parquet(path)
-    found = components(links)
+    found = components(settle(verified(first.union(within), nodes), "links", 4 * files), files)
 
     label = F.coalesce("component", "doc_id")
-    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "g", label.alias("c"))
-    labelled.write.parquet(path := shared_path(spark, "labelled"))
-    labelled = spark.read.parquet(path)
+    labelled = settle(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "g", label.alias("c")), "labelled", files)
     span = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     spanned = entries.join(span, "g").select("g", "n", "token", "place", "low", "high")
     mixed = spanned.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
@@ -206,7 +202,7 @@ def classes(nodes: DataFrame) -> DataFrame:
     more = verified(rest, nodes)
     labels = labelled.select("doc_id", "c")
     merged = more.join(labels.select(F.col("doc_id").alias("u"), F.col("c").alias("cu")), "u").join(labels.select(F.col("doc_id").alias("v"), F.col("c").alias("cv")), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    joined = components(merged).select(F.col("node").alias("c"), "component")
+    joined = components(settle(merged, "merged", 4 * files), files).select(F.col("node").alias("c"), "component")
     return labels.join(joined, "c", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "c").alias("component"))
 
 

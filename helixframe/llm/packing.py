@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_text
+from .common import arrow_rows, id_and_text, release, released
 from .word_tokens import tokens
 
 LENGTH = 2048
@@ -168,6 +168,7 @@ def _pack_shard(length: int):
                 emit(d, skipped + b, skipped + e, offset)
                 offset += e - b
             count += 1
+        release()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -192,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, separator:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary()), pa.array([narrow] * len(packed))], ["doc_id", "shard", "ids", "narrow"])
 
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    encoded = dealt.mapInArrow(run, "doc_id bigint, shard int, ids binary, narrow boolean")
+    encoded = dealt.mapInArrow(released(run), "doc_id bigint, shard int, ids binary, narrow boolean")
     return encoded.groupBy("shard").applyInArrow(_pack_shard(length), _PIECES)
 
 

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
-from .blocks import BLOCK_BYTES, KEYS, NULL_ID, blocked, firsts, is_first, key_rows, pack, roster_of, split_keys, unpack
+from .blocks import BLOCK_BYTES, KEYS, NULL_ID, blocked, buckets_of, firsts, is_first, key_rows, pack, roster_of, split_keys, unpack
+from .common import release
 
 HALF = 25
 WINDOW = 2 * HALF
@@ -95,6 +96,7 @@ class Block:
         keep[1:] = self.where[1:] != self.where[:-1]
         self.where, self.rank, self.around = self.where[keep], self.rank[keep], self.around[keep]
         self.owner = np.searchsorted(self.at, self.where, side="right") - 1
+        release()
 
     def _chunks(self):
         """Ranges of window starts."""
@@ -230,6 +232,7 @@ def _rank_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bits = np.zeros((len(rows), HALF + 1), np.uint32)
         bits[r[smaller], j[smaller]] = 1
         marks[rows] = (bits << np.arange(HALF + 1, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    release()
     found = marks > 0
     count = np.concatenate([[0], np.cumsum(found)])[at]
     return pa.table([table["block"], pack(around[found], count), pack(marks[found], count)], ["block", "around", "marks"])
@@ -301,7 +304,7 @@ def _removed(table: pa.Table, marks: pa.Table) -> tuple[Block, pa.Table, tuple[l
 
 def _marked(placed: DataFrame, blocks: int):
     """The texts by block, and what of them smaller documents hold."""
-    buckets = max(4, blocks)
+    buckets = buckets_of(blocks)
     texts = placed.groupBy("block")
     ranked = texts.cogroup(firsts(placed, blocks).groupBy("block")).applyInArrow(_send_ranks(buckets), KEYS).groupBy("bucket").applyInArrow(_repeated, "block int, bucket int, hits binary")
     sent = texts.cogroup(ranked.groupBy("block")).applyInArrow(_send_surroundings(buckets), _SURROUNDINGS)
