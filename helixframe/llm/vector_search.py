@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, partitions_of
 
 K, BOUND, SEED = 20, 3.0, 20240517
-VECTORS, QUERIES = 65_536, 4_096
+#: Bytes of the vectors and of the queries of a block.
+VECTOR_BYTES, QUERY_BYTES = 32 << 20, 2 << 20
 #: Queries at a time, and candidates of the best estimates that set a query's first limit.
 _AT_ONCE, _FIRST = 32, 128
 
@@ -114,10 +115,11 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     usable = "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)"
     clean = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable).withColumn("dim", F.size("v"))
-    total, asked = clean.agg(F.count(F.lit(1)), F.count_if(is_query(F.col("vec_id")))).first()
-    blocks = max(1, math.ceil(total / VECTORS))
+    size = F.col("dim").cast("bigint") * 8
+    total, asked, asked_bytes = clean.agg(F.sum(size), F.count_if(is_query(F.col("vec_id"))), F.sum(F.when(is_query(F.col("vec_id")), size))).first()
+    blocks = max(1, math.ceil((total or 0) / VECTOR_BYTES))
     # Few vectors still give every task a share of the queries.
-    q_blocks = max(1, math.ceil(asked / QUERIES), min(math.ceil(asked / 128), math.ceil(partitions_of(spark) / blocks)))
+    q_blocks = max(1, math.ceil((asked_bytes or 0) / QUERY_BYTES), min(math.ceil(asked / 128), math.ceil(partitions_of(spark) / blocks)))
     at = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     packed = clean.withColumn("block", at(blocks)).groupBy("dim", "block").applyInArrow(_pack_vectors, "dim int, block int, ids binary, vectors binary, codes binary, norms binary, fits binary")
     queries = clean.filter(is_query(F.col("vec_id"))).withColumn("q_block", at(q_blocks)).groupBy("dim", "q_block").applyInArrow(_pack_queries, "dim int, q_block int, q_ids binary, q_vectors binary")

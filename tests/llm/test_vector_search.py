@@ -68,8 +68,8 @@ def test_estimates_lie_within_the_bound():
 
 
 def test_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(V, "VECTORS", 100)
-    monkeypatch.setattr(V, "QUERIES", 10)
+    monkeypatch.setattr(V, "VECTOR_BYTES", 100 * 16 * 8)
+    monkeypatch.setattr(V, "QUERY_BYTES", 10 * 16 * 8)
     rng = np.random.default_rng(2)
     rows = [(i, np.float32(rng.normal(size=16)).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
