@@ -66,8 +66,10 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, F.hex), ",")
 
 
-def with_next(rows: DataFrame, order: str, tie: str, carried: list[str]) -> DataFrame:
-    """Each row with ``next``, a struct of the columns ``carried`` of the row that follows in order, cyclically.
+def with_next(rows: DataFrame, order: str, tie: str, made: dict[str, Column]) -> DataFrame:
+    """Each row with the columns ``made`` and ``next``, a struct of ``tie`` and of them of the row that follows in order, cyclically.
+
+    Columns are made after the shuffle, which so moves the rows alone.
 
     The ranges' bounds are quantiles of the order column, as many as a few times
     the shuffle partitions; that list is all that comes to the driver.
@@ -78,7 +80,7 @@ def with_next(rows: DataFrame, order: str, tie: str, carried: list[str]) -> Data
     least = None if got["nulls"] else got["least"]
     bounds = sorted({b for b in got["marks"] or [] if b > got["least"] or got["nulls"]})
     # The range of an id is the number of bounds up to it, by binary search.
-    at, known = F.col(order), F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
+    at, known = F.col(order), F.array(*map(F.lit, bounds)).cast("array<bigint>")
     powers = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     fits = lambda i: (i <= len(bounds)) & (F.get(known, i - 1) <= at)
     part = F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n)) if bounds else F.lit(0)
@@ -86,16 +88,15 @@ def with_next(rows: DataFrame, order: str, tie: str, carried: list[str]) -> Data
     place = lambda p, guest: F.struct(p.cast("int").alias("part"), F.lit(guest).alias("guest"))
     places = F.array(place(part, 0), F.when(first, place(part - 1, 1)), F.when(at.eqNullSafe(F.lit(least)), place(F.lit(len(bounds)), 2)))
     placed = rows.withColumn("__at", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("*", "__at.part", "__at.guest").drop("__at")
-    following = F.lead(F.struct(*carried)).over(W.partitionBy("part").orderBy("guest", F.col(order).asc_nulls_first(), tie))
-    return placed.withColumn("next", following).filter("guest = 0").drop("part", "guest")
+    following = F.lead(F.struct(tie, *made)).over(W.partitionBy("part").orderBy("guest", F.col(order).asc_nulls_first(), tie))
+    return placed.repartition("part").withColumns(made).withColumn("next", following).filter("guest = 0").drop("part", "guest")
 
 
 def with_edited(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """doc_id, text, sketch, next_sketch, edited: the text whose last half of code points is the next document's first."""
-    sketched = id_and_text(docs).withColumn("sketch", sketch(F.col("text"), scale))
     half = F.expr("cast(length(text) div 2 as int)")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    return with_next(sketched, "doc_id", "text", ["text", "sketch"]).select("doc_id", "text", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    return with_next(id_and_text(docs), "doc_id", "text", {"sketch": sketch(F.col("text"), scale)}).select("doc_id", "text", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
 
 
 def compare_edited(docs: DataFrame, scale: int = SCALE) -> DataFrame:
