@@ -24,8 +24,14 @@ _DOCUMENT_READS = """select cast(doc_id as {S}) as id,
 from {T}"""
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out to all of them; any other is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _spark(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
-    return spark.sql(sql.format(S="string", G="", T="{table}"), table=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(sql.format(S="string", G="", T="{table}"), table=spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
