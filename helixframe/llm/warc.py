@@ -16,6 +16,7 @@ such rows are revisits. Line ends in a URL are dropped.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -68,8 +69,8 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write each resolved page as one record with fresh WARC and HTTP headers."""
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "none") -> None:
+    """Write each resolved page as one record with fresh WARC and HTTP headers; with gzip a file is one stream."""
     new, revisit = "\r\n", F.col("record_type") == "revisit"
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{new}Content-Type: text/html; charset=utf-8{new}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
@@ -89,7 +90,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
         F.lit(new),
         F.col("block"),
     )
-    resolved.withColumn("block", block).select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    resolved.withColumn("block", block).select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 def parse_records(data: bytes):
@@ -131,7 +132,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for data in b.column(0):
-                rows = [_record(*r) for r in parse_records(data.as_buffer().to_pybytes())]
+                raw = data.as_buffer().to_pybytes()
+                rows = [_record(*r) for r in parse_records(gzip.decompress(raw) if raw.startswith(b"\x1f\x8b") else raw)]
                 for k in range(0, len(rows), 256):
                     columns = list(zip(*rows[k : k + 256]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], list(_NAMES))
@@ -141,7 +143,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Resolve, write below the shared folder, and read the archives back."""
+    """Resolve, write gzipped archives below the shared folder, and read them back."""
     spark = pages.sparkSession
-    write_archives(resolve(pages, min_bytes), path := shared_path(spark, "warc"))
+    write_archives(resolve(pages, min_bytes), path := shared_path(spark, "warc"), compression="gzip")
     return read_archives(spark, path)
