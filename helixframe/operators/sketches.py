@@ -34,19 +34,30 @@ def sketch_similarity(a: str = "a", b: str = "b"):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def minhash_similarity(reads: DataFrame, k: int = 11, size: int = 16, bands: int = 4) -> DataFrame:
-    """Each sketched read against the first read (by id) of the largest band bucket it shares with others.
-
-    Reads meet on bands of equal minima. A bucket is compared with its first
-    read only, so it gives as many rows as it has reads, not their pairs.
+def minhash_similarity(reads: DataFrame, k: int = 11, size: int = 16, bands: int = 4, hot: int = 10_000) -> DataFrame:
+    """id, other and similarity of every pair of different sequences that share a band, and of every copy with its original.
+
+    Reads of equal normalised sequence are a class, and its smallest id stands
+    for it. Each pair of classes with a band of equal minima in common gives one
+    row, the greater id first; every other read of a class gives a row with its
+    class's id and similarity 1. Reads without a valid k-mer are left out. Ids
+    may repeat: sequences are told apart by their hash, too. Classes of ``hot``
+    or more reads are joined by broadcast.
     """
     rows = size // bands
-    sketches = minhash(reads, k, size)
-    band = F.posexplode(F.array(*[F.xxhash64(F.slice("sketch", i * rows + 1, rows)) for i in range(bands)])).alias("band", "key")
-    keyed = sketches.select("id", "sketch", band)
-    heads = keyed.groupBy("band", "key").agg(F.min(F.struct("id", "sketch")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(heads, ["band", "key"]).filter(F.col("id") != F.col("head.id"))
-    return met.groupBy("id").agg(F.max_by(F.struct(F.col("head.id").alias("other"), F.round(sketch_similarity("sketch", "head.sketch"), 4).alias("similarity")), F.struct("n", "head.id")).alias("m")).select("id", "m.other", "m.similarity")
+    named = reads.select("id", normalized("seq").alias("seq")).filter(F.col("seq").rlike(f"[ACGT]{{{k}}}"))
+    heads = named.groupBy("seq").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("n"))
+    sketches = minhash(heads.select(F.struct("other", F.xxhash64("seq").alias("h")).alias("id"), "seq"), k, size)
+    keys = F.array(*[F.xxhash64(F.slice("sketch", i * rows + 1, rows)) for i in range(bands)])
+    keyed = sketches.withColumn("keys", keys).select("id", "sketch", "keys", F.posexplode("keys").alias("band", "key"))
+    # A pair meets in each band it shares; it is taken from the first of them.
+    first = F.array_position(F.zip_with("a.keys", "b.keys", lambda x, y: x == y), True) == F.col("a.band") + 1
+    meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id"))
+    pairs = keyed.alias("a").join(keyed.alias("b"), meet).filter(first)
+    pairs = pairs.select(F.col("a.id.other").alias("id"), F.col("b.id.other").alias("other"), F.round(sketch_similarity("a.sketch", "b.sketch"), 4).alias("similarity"))
+    many, few = heads.filter(F.col("n") >= hot).select("seq", "other"), heads.filter(F.col("n").between(2, hot - 1)).select("seq", "other")
+    copies = named.join(F.broadcast(many), "seq").union(named.join(F.broadcast(many), "seq", "left_anti").join(few, "seq").select("seq", "id", "other"))
+    return pairs.union(copies.filter("not id <=> other").select("id", "other", F.lit(1.0).alias("similarity")))
 
 
 def bloom_parameters(items: int, false_positive: float) -> tuple[int, int]:

@@ -130,6 +130,38 @@ def test_minhash(spark):
     assert set(got) == {"r1"} and got["r1"].other == "r0" and got["r1"].similarity == 1.0
 
 
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_minhash_equals_brute_force(spark, hot):
+    """Families of edited reads with repeated members: every pair of sequences with a band in common, and every copy."""
+    import random
+    from itertools import combinations
+
+    rng, texts = random.Random(2), ["ACGT", "N" * 30]
+    for _ in range(6):
+        base = [rng.choice("ACGT") for _ in range(200)]
+        for edits in (0, 0, 0, 0, 1, 1, 2, 2, 3, 6):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(200)] = rng.choice("ACGTn")
+            texts.append("".join(w))
+    rng.shuffle(texts)
+    reads = seqs(spark, *texts)
+    sketch = {x.id: x.sketch for x in S.minhash(reads).collect()}
+    classes = {}
+    for r in reads.collect():
+        if r.id in sketch:
+            classes.setdefault(r.seq.upper(), []).append(r.id)
+    want = {(i, min(ids), 1.0) for ids in classes.values() for i in ids if i != min(ids)}
+    for x, y in combinations(sorted(map(min, classes.values())), 2):
+        if any(sketch[x][i : i + 4] == sketch[y][i : i + 4] for i in range(0, 16, 4)):
+            want.add((y, x, round(sum(p == q for p, q in zip(sketch[x], sketch[y])) / 16, 4)))
+    got = [tuple(r) for r in S.minhash_similarity(reads, hot=hot).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+    one_id = S.minhash_similarity(reads.selectExpr("'x' as id", "seq"))
+    assert one_id.count() == sum(a != b for a, b, s in want) - sum(len(ids) - 1 for ids in classes.values())
+
+
 @pytest.mark.parametrize("parts", [1, 2, 7])
 def test_partitions_do_not_matter(spark, parts):
     r = seqs(spark, *("ACGTN"[i % 5] * (i % 40 + 1) for i in range(200))).repartition(parts)
