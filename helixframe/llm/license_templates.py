@@ -10,6 +10,11 @@ TEMPLATES: dict[str, str] = {
         'portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
         "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     ),
+    "MIT-line": "Released under the MIT License.",
+    "MIT-liability": (
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
@@ -32,6 +37,14 @@ TEMPLATES: dict[str, str] = {
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "GPL-2.0": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,6 +26,16 @@ def test_query_finds_every_line_and_no_other(spark, table):
         assert [(int(s[1]), s[0]) for s in spans] == want
 
 
+def test_query_finds_the_license_lines_of_the_documents(spark, table):
+    """The lines are taken from the documents: short ones that speak of a license or rights."""
+    got = {r.doc_id: r.spans for r in op5_license_scan(spark, SF).collect()}
+    lines = {x for _, text in table[1] for x in (text or "").split("\n") if len(x) < 120 and re.search(r"(?i)licen[sc]e|rights reserved", x)}
+    assert "Released under the MIT License." in lines
+    for i, text in table[1]:
+        want = sorted(p for line in lines for p in range(len(text or "")) if text.startswith(line, p))
+        assert [int(s.split(":")[1]) for s in got[i].split(",") if s] == want
+
+
 def test_whole_and_edited_texts():
     for name, text in KNOWN:
         found = scan("é ü " + prose(1, 50) + " " + text + " " + prose(2, 50))[0]
