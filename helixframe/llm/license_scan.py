@@ -6,8 +6,12 @@ from the hash of every ``K``-word run to its places. A text is winnowed: of ever
 fingerprint, so a shared passage of ``K + WINDOW - 1`` words has one in common;
 templates shorter than that are looked up by their first run besides. Fingerprints
 in the index group by template and diagonal, and each group is aligned with its
-template within a band, which gives the matched words, their share of the template
-and the span. Of overlapping spans the one with the most matched words stays.
+template within a band, then what that leaves of the group's text is, as long as
+``K`` words match. These pieces chain where they follow each other in the text and
+in the template, at most the template's length apart, so a notice with a longer
+insertion or a deletion counts whole. A chain gives the matched words, their share
+of the template and the span. Of overlapping spans the one with the most matched
+words stays.
 
 Null and empty texts have no spans; repeated rows each give a row; long texts are
 scanned whole; other columns are ignored. Spans are code points, ends exclusive.
@@ -86,19 +90,24 @@ def index_of(templates: tuple[tuple[str, str], ...]) -> Templates:
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Matched words, and first and last + 1 matched place in ``text``, of the best local alignment on diagonals ``low`` to ``high``.
+    """Matched words, and first and last + 1 matched place in ``text``, of the best local alignment on diagonals ``low`` to ``high``."""
+    return align_both(template, text, low, high)[:3]
+
+
+def align_both(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
+    """As ``align``, then first and last + 1 matched place in ``template``.
 
     A match scores 2, a mismatch or gap -1. A diagonal is a place in the text minus one in the template.
     """
     width = high - low + 1
-    # Of each cell in the band: score, matched words, first matched place.
-    score, matched, first = [0] * (width + 2), [0] * (width + 2), [-1] * (width + 2)
-    best = (0, 0, -1, -1)
+    # Of each cell in the band: score, matched words, first matched places in the text and in the template.
+    score, matched, first = [0] * (width + 2), [0] * (width + 2), [(-1, -1)] * (width + 2)
+    best = (0, 0, -1, -1, -1, -1)
     words, n = template.tolist(), len(text)
     text_words = text.tolist()
     for i, w in enumerate(words):
         above, above_m, above_f = score, matched, first
-        score, matched, first = [0] * (width + 2), [0] * (width + 2), [-1] * (width + 2)
+        score, matched, first = [0] * (width + 2), [0] * (width + 2), [(-1, -1)] * (width + 2)
         for d in range(1, width + 1):
             j = i + low + d - 1
             if not 0 <= j < n:
@@ -112,12 +121,51 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
                 s, m, f = score[d - 1] - 1, matched[d - 1], first[d - 1]
             if s <= 0:
                 continue
-            if m and f < 0:
-                f = j
+            if m and f[0] < 0:
+                f = (j, i)
             score[d], matched[d], first[d] = s, m, f
             if same and s > best[0]:
-                best = (s, m, f, j + 1)
-    return best[1], best[2], best[3]
+                best = (s, m, f[0], j + 1, f[1], i + 1)
+    return best[1:]
+
+
+def pieces(template: np.ndarray, text: np.ndarray, low: int, high: int) -> list[tuple[int, int, int, int, int]]:
+    """The alignments of ``align_both`` of ``K`` matched words or more, in order: the best one and those of what is left before and after it."""
+    out, todo = [], [(max(0, low), min(len(text), high + len(template)))]
+    while todo:
+        x, y = todo.pop()
+        if y - x < K:
+            continue
+        m, a, b, p, q = align_both(template, text[x:y], low - x, high - x)
+        if m >= K:
+            out.append((m, x + a, x + b, p, q))
+            todo += [(x, x + a), (x + b, y)]
+    return sorted(out, key=lambda r: r[1:])
+
+
+def chained(found: list[tuple[int, int, int, int, int]], size: int, need: float) -> list[tuple[int, int, int]]:
+    """Matched words, start and end of the chains of pieces with ``need`` matched words or more, best first and without overlaps."""
+    out, left = [], sorted(set(found), key=lambda r: r[1:])
+    while left:
+        # Of the best chain that ends with each piece: matched words and start.
+        best: list[tuple[int, int]] = []
+        for j, (m, a, b, p, q) in enumerate(left):
+            top = (m, a)
+            for i in range(j - 1, -1, -1):
+                _, a1, b1, p1, q1 = left[i]
+                if a - a1 > 4 * size + BAND:
+                    break
+                common = max(0, q1 - p, b1 - a)
+                if a1 < a and p1 < p and b1 < b and q1 < q and common < m and a - b1 <= size:
+                    top = max(top, (best[i][0] + m - common, best[i][1]))
+            best.append(top)
+        k = max(range(len(left)), key=lambda j: (best[j][0], -left[j][2]))
+        (m, a), b = best[k], left[k][2]
+        if m < need:
+            break
+        out.append((m, a, b))
+        left = [r for r in left if r[2] <= a or r[1] >= b]
+    return out
 
 
 def scan_batch(texts: pa.Array, templates: tuple[tuple[str, str], ...], min_coverage: float = MIN_COVERAGE) -> list[list[dict]]:
@@ -136,11 +184,12 @@ def scan_batch(texts: pa.Array, templates: tuple[tuple[str, str], ...], min_cove
         mine = picked[owner == doc]
         found = _candidates(index, [(int(p - run_at[doc]), int(runs[p])) for p in mine])
         text = hashes[word_at[doc] : word_at[doc + 1]]
-        spans = []
+        spans, parts = [], defaultdict(list)
         for t, low, high in found:
-            m, a, b = align(index.words[t], text, low - BAND, high + BAND)
-            if a >= 0 and m >= min_coverage * len(index.words[t]):
-                spans.append((m, m / len(index.words[t]), a, b, t))
+            parts[t] += pieces(index.words[t], text, low - BAND, high + BAND)
+        for t, known in parts.items():
+            size = len(index.words[t])
+            spans += [(m, m / size, a, b, t) for m, a, b in chained(known, size, min_coverage * size)]
         base, begin = at[doc], word_at[doc]
         kept: list[tuple] = []
         for s in sorted(set(spans), key=lambda s: (-s[0], -s[1], s[2], s[4])):

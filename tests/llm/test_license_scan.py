@@ -53,6 +53,25 @@ def test_two_copies_and_overlaps():
     assert [f["license"] for f in scan(text)[0]] == ["Apache-2.0", "Apache-2.0"]
 
 
+def test_notices_that_repeat_within_the_band():
+    line = TEMPLATES["all-rights-reserved"]
+    assert [(f["start"], f["coverage"]) for f in scan(" ".join([line] * 3))[0]] == [(0, 1.0), (21, 1.0), (42, 1.0)]
+    for k in ("CC-BY-NC-4.0-line", "Apache-2.0-line", "MIT-line"):
+        assert [f["license"] for f in scan("\n".join([TEMPLATES[k]] * 4))[0]] == [k] * 4
+
+
+def test_one_long_insertion_or_deletion_near_the_middle():
+    for k in ("GPL-3.0", "Apache-2.0", "MIT", "BSD"):
+        words = TEMPLATES[k].split()
+        half = len(words) // 2
+        for n in (9, 12, 20):
+            text = " ".join(words[:half] + prose(n, n).split() + words[half:])
+            assert [(f["license"], f["start"], f["coverage"] >= 0.9) for f in scan(text)[0]] == [(k, 0, True)]
+    words = TEMPLATES["MIT"].split()
+    text = " ".join(words[:50] + words[62:])
+    assert [(f["license"], f["start"]) for f in scan(text)[0]] == [("MIT", 0)] and scan(text)[0][0]["coverage"] > 0.85
+
+
 def test_winnowing_covers_every_window():
     rng = np.random.default_rng(0)
     at = np.array([0, 3, 3, 40, 41, 100])
