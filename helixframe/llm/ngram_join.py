@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import byte_hash
 from .blocks import BLOCK_BYTES, KEYS, NULL_ID, TEXT_KEY, blocked, buckets_of, firsts, is_first, key_rows, pack, pair_keys, roster_of, split_keys, unpack
-from .common import arrow_rows, join_hot, release, released, settle, shared_path
+from .common import arrow_rows, join_hot, release, released, settle, shared_path, text_of
 from .components import components
 
 SHINGLE = 5
@@ -218,7 +218,29 @@ def near_duplicate_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
     return both.withColumn("component", component).select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """The rows with ``__key``: the id, or for an id (null included) that rows of different texts share, one made of the text.
+
+    Made keys of a null id sort before all ids and those of others after all below 2**62; they are 62-bit hashes.
+    """
+    id_, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), F.xxhash64(text_of())
+    keyed = docs.withColumn("__id", id_)
+    shared = keyed.groupBy("__id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low != high").select("__id", F.lit(True).alias("__shared"))
+    if not shared.count():
+        return keyed.withColumnRenamed("__id", "__key")
+    rows = join_hot(keyed, shared, ["__id"], "text", docs.count(), "left")
+    made = text.bitwiseAND(F.lit((1 << 62) - 1))
+    made = F.when(F.col("__id") == NULL_ID, made + F.lit(NULL_ID + 1)).otherwise(made + F.lit(1 << 62))
+    return rows.withColumn("__key", F.when(F.col("__shared"), made).otherwise(F.col("__id"))).select(*docs.columns, "__key")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of its smallest id, unchanged; rows that repeat an id are one document."""
-    kept = near_duplicate_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class of texts, that of its smallest id, unchanged.
+
+    Rows that repeat an id and its text are one document. Different texts under one id, null
+    included, are documents of their own; where such an id is not null, it counts as greater than all others.
+    """
+    rows = _told_apart(docs)
+    found = near_duplicate_classes(rows.select(F.when(F.col("__key") != NULL_ID, F.col("__key")).alias("doc_id"), "text"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept")).distinct()
+    return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

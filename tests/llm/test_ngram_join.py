@@ -88,6 +88,20 @@ def test_one_row_of_each_class_stays(docs, rows):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_different_texts_under_one_id_stay(spark):
+    """Rows of a null or repeated id are judged by their texts: clean ones stay, near copies go."""
+    base = prose(70, 120).split()
+    near = " ".join(base[:60] + ["changed"] + base[61:])
+    rows = [(None, prose(30 + i, 60)) for i in range(12)] + [(7, prose(50 + i, 60)) for i in range(12)]
+    rows += [(None, " ".join(base)), (None, near), (7, near), (9, " ".join(base)), (3, prose(80, 60)), (7, prose(80, 60)), (7, prose(50, 60)), (None, prose(30, 60))]
+    docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in J.keep_one_of_each(docs).collect()]
+    clean = {(i, t) for i, t in rows[:24]} | {(3, prose(80, 60))}
+    assert len(kept) == 26 and clean <= set(kept)
+    (other,) = set(kept) - clean
+    assert other[0] is None and other[1] in (" ".join(base), near)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 300), (160, 159)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
