@@ -7,9 +7,11 @@ Each is matched leftmost and without overlaps, and short matches are dropped.
 
 The method adds kinds that are reported only when their bytes decode and parse:
 ``jwt`` (base64url header and claims that are JSON objects, the header with
-``alg``), ``der`` (base64 or hex whose bytes are a private-key SEQUENCE with
-nested lengths that all add up), ``openssh`` (length-prefixed fields after the
-format's magic), and ``pem`` (an armoured block whose body is one of the two).
+``alg``), ``der`` (base64, base64url or hex, the former two also wrapped over
+lines, whose bytes are a private-key SEQUENCE with nested lengths that all add
+up), ``openssh`` (length-prefixed fields after the format's magic), and ``pem``
+(an armoured block, with or without header lines, whose body is one of the two;
+or one whose headers say that it is encrypted, which leaves whole cipher blocks).
 
 A null or empty text has no spans; offsets are code points, ends exclusive;
 long texts are scanned whole; repeated rows each give a row. Spans are ordered
@@ -38,10 +40,14 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
+#: Runs of one alphabet; wrapped ones have lines of 16 characters or more but the last.
 _B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_LINE = re.compile(r"[^\s]+")
+_URL64 = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
 _HEXES = re.compile(r"[0-9A-Fa-f]{64,}")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*?((?:\n[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[ \t][^\n]*)*)*)([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 _LONG = 24
 
 
@@ -79,11 +85,16 @@ def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_der_key(data: bytes) -> bool:
-    """Whether the bytes are one PKCS#1, PKCS#8 or SEC1 private key, all lengths nested exactly."""
+    """Whether the bytes are one PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA private key, all lengths nested exactly."""
     top = _tlv(data, 0)
     if not top or top[0] != 0x30 or top[2] != len(data):
         return False
     kids = _children(data, top[1], top[2])
+    if kids and [k[0] for k in kids] == [0x30, 0x04]:
+        # EncryptedPrivateKeyInfo: an algorithm with parameters (none of them names a digest, as DigestInfo does), then whole cipher blocks.
+        algorithm = _children(data, kids[0][1], kids[0][2])
+        size = kids[1][2] - kids[1][1]
+        return bool(algorithm) and [k[0] for k in algorithm] == [0x06, 0x30] and size >= 16 and size % 8 == 0
     if not kids or kids[0][0] != 0x02 or kids[0][2] - kids[0][1] != 1 or len(kids) < 2:
         return False
     tags, version = [k[0] for k in kids], data[kids[0][1]]
@@ -92,6 +103,10 @@ def is_der_key(data: bytes) -> bool:
         return version <= 1 and bool(algorithm) and algorithm[0][0] == 0x06
     if tags[1] == 0x04:
         return version == 1 and kids[1][2] - kids[1][1] >= 16
+    if len(tags) == 6:
+        # DSA: version 0, p, q, g, y, x; q is a short prime, and the others are no longer than p.
+        p, q, g, y, x = (k[2] - k[1] for k in kids[1:])
+        return version == 0 and all(t == 0x02 for t in tags) and p >= 64 and 20 <= q <= 33 and g <= p and y <= p and x <= q
     return version <= 1 and len(tags) >= 9 and all(t == 0x02 for t in tags[:9])
 
 
@@ -112,15 +127,42 @@ def key_kind(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+_URL_SIGNS = str.maketrans("-_", "+/")
+
+
+def _is_encrypted_body(headers: str, data: bytes) -> bool:
+    """Whether armour headers say that the body is encrypted, and it is whole cipher blocks."""
+    return "ENCRYPTED" in headers and "DEK-Info:" in headers and len(data) >= 48 and len(data) % 8 == 0
+
+
 def _from_base64(part: str) -> bytes:
     body = part.rstrip("=")
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body.translate(_URL_SIGNS) + "=" * (-len(body) % 4))
     except binascii.Error:
         return b""
 
 
+def _wrapped(run: re.Match) -> list[tuple[str, int, int]]:
+    """The keys in lines of base64: lines as long as the first, and a shorter one or none."""
+    lines = [(x[0], x.start() + run.start(), x.end() + run.start()) for x in _LINE.finditer(run[0])]
+    out, at = [], 0
+    while at < len(lines) - 1:
+        after = at + 1
+        if lines[at][0].startswith(("M", "b3Blbn")):
+            end = at + 1
+            while end < len(lines) and len(lines[end][0]) == len(lines[at][0]):
+                end += 1
+            for stop in (end + 1, end):
+                if at + 1 < stop <= len(lines) and (kind := key_kind(_from_base64("".join(x for x, _, _ in lines[at:stop])))):
+                    out.append((kind, lines[at][1], lines[stop - 1][2]))
+                    after = stop
+                    break
+        at = after
+    return out
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All confirmed spans (kind, start, end) of a text, ordered."""
     found: list[tuple[str, int, int]] = []
@@ -132,7 +174,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     # A run that the other kinds need lies within a blank-free word at least as long.
     if max(map(len, text.split()), default=0) >= _LONG:
         found += [("hex", *m.span()) for m in _HEX.finditer(text) if m.end() - m.start() >= _LONG]
-        if "eyJ" in text:
+        if text.count(".") > 1:
             for m in _JWT.finditer(text):
                 header = _json_object(m[1])
                 if header is not None and "alg" in header and _json_object(m[2]) is not None:
@@ -140,13 +182,19 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         for m in _B64.finditer(text):
             if kind := key_kind(_from_base64(m[0])):
                 found.append((kind, *m.span()))
+        for m in _URL64.finditer(text):
+            if ("-" in m[0] or "_" in m[0]) and (kind := key_kind(_from_base64(m[0]))):
+                found.append((kind, *m.span()))
+        for m in _WRAPPED.finditer(text):
+            found += _wrapped(m)
         for m in _HEXES.finditer(text):
             body = m[0][: len(m[0]) // 2 * 2]
             if is_der_key(bytes.fromhex(body)):
                 found.append(("der", m.start(), m.start() + len(body)))
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if key_kind(_from_base64("".join(m[1].split()))):
+            data = _from_base64("".join(m[2].split()))
+            if key_kind(data) or _is_encrypted_body(m[1], data):
                 found.append(("pem", *m.span()))
     return sorted(found, key=lambda x: (x[1], _ORDER[x[0]], x[2]))
 

@@ -56,6 +56,29 @@ def test_unconfirmed(text):
     assert S.scan(text) == []
 
 
+DSA = der(0x30, INT + b"".join(der(2, bytes([1] * n)) for n in (300, 20, 300, 300, 20)))
+ENCRYPTED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(0x30, der(4, b"s" * 8))) + der(4, b"\xfb\xef\xbe" * 128))
+wrap = lambda x, n=64: "\n".join(x[i : i + n] for i in range(0, len(x), n))
+
+
+def test_further_structures_and_forms():
+    assert S.is_der_key(DSA) and S.is_der_key(ENCRYPTED)
+    for broken in (DSA[:-1], ENCRYPTED[:-1], ENCRYPTED + b"x"):
+        assert not S.is_der_key(broken)
+    body = base64.urlsafe_b64encode(ENCRYPTED).decode()
+    assert "-" in body or "_" in body
+    spaced = base64.urlsafe_b64encode(b' {"alg": "HS256"}').decode().rstrip("=") + "." + url({"sub": "1"}) + ".c2ln"
+    for secret, kind in ((b64(DSA), "der"), (body, "der"), (wrap(b64(PKCS8)), "der"), (wrap(body), "der"), (wrap(b64(OPENSSH), 70), "openssh"), (spaced, "jwt")):
+        assert (kind, 4, 4 + len(secret)) in S.scan(f"see\n{secret}\n\nend"), secret
+        assert (kind, 4, 4 + len(secret)) in S.scan(f"see\n{secret}\nend of it"), secret
+    for name, data in (("DSA ", DSA), ("ENCRYPTED ", ENCRYPTED)):
+        pem = f"-----BEGIN {name}PRIVATE KEY-----\n{wrap(b64(data))}\n-----END {name}PRIVATE KEY-----"
+        assert ("pem", 0, len(pem)) in S.scan(pem)
+    for end in ("\n", "\r\n"):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{wrap(b64(bytes(range(240)) * 2))}\n-----END RSA PRIVATE KEY-----".replace("\n", end)
+        assert ("pem", 0, len(pem)) in S.scan(pem)
+
+
 def test_overlaps_and_failing_matches():
     text = "token=ab token: 'secret=abcdefgh' PASSWD = x.y_z-1 toKen=abcdefgh AKIA" + "A" * 15 + " AKIA" + "B" * 16 + " " + "f" * 23 + "g" + "0" * 24
     assert S.scan(text) == [(k.split(":")[0], *map(int, k.split(":")[1:])) for _, _, k in base_spans(text)]
