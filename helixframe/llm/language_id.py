@@ -35,9 +35,8 @@ from .common import arrow_rows, id_and_text, release, released
 BLOCK = 1024
 EXCERPT = 512
 HELD_OUT = 2
-#: Symbols: 0 a blank, 1 any letter outside the alphabet, then the alphabet, last the padding.
-ALPHABET = 45
-SIZE = ALPHABET + 3
+#: Symbols: 0 a blank, 1 any letter outside the alphabet, then the alphabet (the letters of the sample, so many at most), last the padding.
+ALPHABET = 250
 _GROUP = 1_000_000
 
 
@@ -46,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_chars: int = 16_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
+def learn(docs: DataFrame, sample_chars: int = 40_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
     """The model: for each language, its label and the sampled text, both bounded.
 
     A first pass estimates each label's distinct texts, a second collects those
@@ -115,6 +114,7 @@ class Parser:
         letters = Counter(c for _, text in model for c in text.lower() if c.isalpha())
         self.table = np.zeros(0x110000, np.uint8)
         self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
+        self.size = min(len(letters), ALPHABET) + 3
         for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
             self.table[ord(c)] = 2 + k
         parts, roots, bits, base = [], [], [], 0
@@ -126,14 +126,14 @@ class Parser:
             symbol = np.fromiter((c for x in nexts for c in x), np.int32)
             target = np.fromiter((t for x in nexts for t in x.values()), np.int32)
             del nexts
-            step = np.full((n, SIZE), -1, np.int32)
+            step = np.full((n, self.size), -1, np.int32)
             step[state, symbol] = target
             root = step[0].copy()
             # Without a transition the phrase ends and the next begins at the root; a symbol unknown there is a phrase of its own.
             restart = np.where(root >= 0, (root + base) << 2 | 1, base << 2 | 2)
             full = np.where(step >= 0, (step + base) << 2, restart[None, :])
             full[0] = np.where(root >= 0, (root + base) << 2, base << 2 | 1)
-            full[:, SIZE - 1] = (np.arange(n, dtype=np.int32) + base) << 2
+            full[:, self.size - 1] = (np.arange(n, dtype=np.int32) + base) << 2
             parts.append(full)
             roots.append(base)
             bits.append(np.log2(max(2, len(symbols))))
@@ -153,7 +153,7 @@ class Parser:
         sizes = np.array([len(x) for x in lanes], np.int64)
         order = np.argsort(-sizes, kind="stable")
         longest = int(sizes.max(initial=0))
-        grid = np.full((longest, len(lanes)), SIZE - 1, np.uint8)
+        grid = np.full((longest, len(lanes)), self.size - 1, np.uint8)
         for k, i in enumerate(order):
             grid[: sizes[i], k] = lanes[i]
         active = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
@@ -161,7 +161,7 @@ class Parser:
         ended = np.zeros(state.shape, np.int32)
         for t in range(longest):
             n = active[t]
-            got = self.steps.take(state[:, :n] * SIZE + grid[t, :n])
+            got = self.steps.take(state[:, :n] * self.size + grid[t, :n])
             ended[:, :n] += got & 3
             state[:, :n] = got >> 2
         ended += state != self.roots[:, None]

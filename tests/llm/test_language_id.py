@@ -95,3 +95,21 @@ def test_score_needs_two_languages():
     assert labels == ["de", "en", "und", "und", "und"] and scores[2:] == [0, 0, 0] and bits[0] > 0
     with pytest.raises(IndexError):
         _ = L.Parser(()).roots[0]
+
+
+def test_two_languages_in_each_of_two_scripts():
+    """Beside long Latin samples, languages that differ in the letters of a rarer script alone."""
+    import random
+
+    rng = random.Random(5)
+
+    def text(letters, n, favoured):
+        words = ["".join(rng.choice(favoured if rng.random() < 0.7 else letters) for _ in range(5)) for _ in range(n)]
+        return " ".join(words)
+
+    scripts = {"latin": "abcdefghijklmnopqrstuvwxyzáéíóúñüßçèêà", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+    kinds = {f"{s}{k}": (x, x[k::2]) for s, x in scripts.items() for k in (0, 1)}
+    model = tuple((name, text(x, 3000 if name.startswith("latin") else 400, f)) for name, (x, f) in sorted(kinds.items()))
+    wanted, texts = zip(*[(name, text(x, 60, f)) for name, (x, f) in kinds.items() for _ in range(20)])
+    labels, _, _ = L.Parser(model).predict(list(texts))
+    assert sum(a == b for a, b in zip(labels, wanted)) >= 118
