@@ -123,6 +123,16 @@ _add("taxonomic_screening", _taxa, _with(_TAXA) + "select taxon, reads::bigint a
 _add("taxon_composition", lambda s, d: R.taxon_composition(_taxa(s, d)), _with(_TAXA) + "select taxon, round(reads*100.0::double/(select sum(reads) from tx where reads>0),4) as percent from tx where reads > 0")
 
 
+def _all_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads against the signatures of the whole part table."""
+    return R.taxonomic_screening(reads(spark, sf_dir), _signatures(spark.read.parquet(f"{sf_dir}/part.parquet")))
+
+
+_ALL_TAXA = _TAXA.replace(" where p_partkey <= 50", "")
+_add("taxonomic_screening_all", _all_taxa, _with(_ALL_TAXA) + "select taxon, reads::bigint as reads from tx")
+_add("taxon_composition_all", lambda s, d: R.taxon_composition(_all_taxa(s, d)), _with(_ALL_TAXA) + "select taxon, round(reads*100.0::double/(select sum(reads) from tx where reads>0),4) as percent from tx where reads > 0")
+
+
 def _alignments(name: str, stage: Callable[..., DataFrame], sql: str, **params) -> None:
     _add(name, lambda s, d: stage(alignments(s, d), **params), _with(source=ALIGNMENTS_SQL) + sql)
 
@@ -156,6 +166,16 @@ def _bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("bloom_filter", _bloom, "select count(distinct l_quantity::bigint) as distinct_values, 0::bigint as missed from lineitem where l_quantity <= 25")
 
 
+def _bloom_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter of the quantities 1 to 25 asked for every quantity, beside the exact set: what it misses and what it holds in error."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("bigint").alias("v"))
+    held = S.bloom_build(rows.filter("v <= 25"), "v", 25)
+    return S.bloom_contains(rows, "v", held, 25).agg(F.count(F.lit(1)).alias("distinct_values"), F.count_if(F.expr("v <= 25 and not maybe")).alias("missed"), F.count_if(F.expr("v > 25 and maybe")).alias("false_positives"))
+
+
+_add("bloom_filter_all", _bloom_all)
+
+
 def _scratch(spark: SparkSession, kind: str) -> str:
     """A new path below the session's shared folder, or a local one where it names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
