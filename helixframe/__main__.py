@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("config")
         c.add_argument("input")
         c.add_argument("--threads", type=int, default=8)
+        c.add_argument("--max-memory", type=int, metavar="MB", help="heap of a session that this command starts")
         c.add_argument("--mode", choices=("exact", "fast", "approx"), default="exact")
         c.add_argument("--fast", action="store_true", help="the same as --mode fast")
         c.add_argument("--gzip-backend", dest="gzip_mode", default="auto")
@@ -40,6 +41,8 @@ def main(argv: list[str] | None = None) -> int:
     if args and args[0] not in COMMANDS and not args[0].startswith("-"):
         args.insert(0, "qc")  # a bare path
     a = parser().parse_args(args)
+    if a.max_memory:
+        api.session(a.threads, a.max_memory)
     if a.command == "bamstats":
         work = (api.bamstats, a.input, a.reference_length, a.threads)
     elif a.command in ("pipeline", "run"):

@@ -34,15 +34,6 @@ def invalid_bases(seq: Column | str = "seq") -> Column:
     return F.length(F.regexp_replace(_c(seq), "[ACGTNacgtn]", "")).cast("bigint")
 
 
-def phred(char: Column) -> Column:
-    """The Phred+33 value of a character, at least 0."""
-    return F.greatest(F.ascii(char) - 33, F.lit(0))
-
-
-def phred_sum(qual: Column | str = "qual") -> Column:
-    return F.aggregate(F.split(_c(qual), ""), F.lit(0).cast("bigint"), lambda a, x: a + F.when(x == "", 0).otherwise(phred(x)))
-
-
 def gc_bin(gc: Column, length: Column) -> Column:
     """Percent of G and C, truncated, in 32-bit floating point; null for an empty sequence."""
     share = (gc.cast("double") / F.nullif(length, F.lit(0))).cast("float")
@@ -60,6 +51,11 @@ def kmer_id(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
 
 
+def kmer_of(code: Column, k: int) -> Column:
+    """The k-mer of a base-4 number."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def two_bit(seq: Column | str = "seq") -> tuple[Column, Column]:
     """Digits 0 to 3 for A, C, G, T (0 for others) and a mask of 1 for valid letters."""
     n = normalized(seq)

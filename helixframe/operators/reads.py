@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequence import base_counts, entropy, gc_bin, invalid_bases, kmer_id, kmers, normalized, phred, phred_sum
+from ..functions import kernels
+from ..functions.sequence import entropy, gc_bin, kmer_id, kmer_of, kmers, normalized
 
 LENGTH_CAP, QUALITY_POSITIONS, QUALITY_CAP = 999, 512, 93
 BASE_POSITIONS, BASE_QUALITY_CAP, DECAY_POSITIONS, N50_CAP = 1000, 40, 10_000, 29_999
@@ -21,15 +22,10 @@ def _ratio(a: Column, b: Column, digits: int) -> Column:
     return F.coalesce(F.round(a / F.nullif(b, F.lit(0)), digits), F.lit(0.0)).cast("double")
 
 
-def per_read(reads: DataFrame) -> DataFrame:
-    """One projection of what the scalar stages share: length, base counts, invalid bases."""
-    return reads.select(F.length("seq").cast("bigint").alias("len"), *(c.alias(b) for b, c in base_counts("seq").items()), invalid_bases("seq").alias("bad"))
-
-
 def fused(reads: DataFrame) -> DataFrame:
     """All scalar figures of the default report, in one pass."""
     total = _sum(F.col("len"))
-    return per_read(reads).agg(
+    return kernels.base_sums(reads).agg(
         F.count(F.lit(1)).alias("total_reads"), total.alias("total_bases"),
         F.coalesce(F.min("len"), F.lit(0)).alias("min_length"), F.coalesce(F.max("len"), F.lit(0)).alias("max_length"),
         _ratio(total, F.count(F.lit(1)), 2).alias("mean_length"), _sum(F.col("bad")).alias("integrity_violations"),
@@ -51,28 +47,21 @@ def nucleotide_composition(reads: DataFrame) -> DataFrame:
 
 def integrity(reads: DataFrame) -> DataFrame:
     """Bases outside the alphabet; the identity A+C+G+T+N = total holds by construction, so its violations are 0."""
-    return per_read(reads).agg(_sum(F.col("bad")).alias("invalid_bases"), _sum(F.col("len") - F.col("a") - F.col("c") - F.col("g") - F.col("t") - F.col("n")).alias("identity_violations"))
+    return kernels.base_sums(reads).agg(_sum(F.col("bad")).alias("invalid_bases"), _sum(F.col("len") - F.col("a") - F.col("c") - F.col("g") - F.col("t") - F.col("n")).alias("identity_violations"))
 
 
 def gc_distribution(reads: DataFrame) -> DataFrame:
     """bin (percent 0 to 100) and reads; empty reads are left out, N counts in the denominator."""
-    return per_read(reads).filter("len > 0").groupBy(gc_bin(F.col("g") + F.col("c"), F.col("len")).alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
+    return kernels.base_sums(reads).filter("len > 0").groupBy(gc_bin(F.col("g") + F.col("c"), F.col("len")).alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 def length_distribution(reads: DataFrame) -> DataFrame:
     return reads.groupBy(F.least(F.length("seq"), F.lit(LENGTH_CAP)).alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
 
 
-def _positions(reads: DataFrame, column: str, limit: int) -> DataFrame:
-    """pos (from 0) and char of the first ``limit`` characters."""
-    head = F.substring(F.col(column), 1, limit)
-    return reads.filter(F.length(column) > 0).select(F.posexplode(F.split(head, "")).alias("pos", "char"))
-
-
 def _phred_matrix(reads: DataFrame, positions: int, cap: int) -> DataFrame:
-    """Characters are counted first, so that Phred values are computed on groups."""
-    counted = _positions(reads, "qual", positions).groupBy("pos", "char").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("pos", F.least(phred(F.col("char")), F.lit(cap)).alias("phred")).agg(_sum(F.col("n")).alias("reads"))
+    counted = kernels.position_counts(reads, "qual", kernels.capped(cap), positions)
+    return counted.select("pos", F.col("kind").alias("phred"), F.col("n").alias("reads"))
 
 
 def quality_dist(reads: DataFrame) -> DataFrame:
@@ -91,22 +80,22 @@ def heatmap_intensity(reads: DataFrame) -> DataFrame:
 
 
 def quality_decay(reads: DataFrame) -> DataFrame:
-    counted = _positions(reads, "qual", DECAY_POSITIONS).groupBy("pos", "char").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("pos").agg(_ratio(F.sum(phred(F.col("char")) * F.col("n")), F.sum("n"), 4).alias("mean_phred"))
+    counted = kernels.position_counts(reads, "qual", kernels.phreds(), DECAY_POSITIONS)
+    return counted.groupBy("pos").agg(_ratio(F.sum(F.col("kind") * F.col("n")), F.sum("n"), 4).alias("mean_phred"))
 
 
 def per_base_composition(reads: DataFrame) -> DataFrame:
-    return _positions(reads.select(normalized("seq").alias("seq")), "seq", BASE_POSITIONS).groupBy("pos", F.col("char").alias("base")).agg(F.count(F.lit(1)).alias("reads"))
+    counted = kernels.position_counts(reads, "seq", kernels.base_codes(), BASE_POSITIONS)
+    return counted.select("pos", F.substring(F.lit("ACGTN"), F.col("kind") + 1, F.lit(1)).alias("base"), F.col("n").alias("reads"))
 
 
 def qc_summary(reads: DataFrame) -> DataFrame:
-    phreds = _sum(phred_sum("qual"))
-    bases = _sum(F.length("seq"))
-    return reads.agg(F.count(F.lit(1)).alias("total_reads"), bases.alias("total_bases"), _ratio(phreds, bases, 4).alias("mean_quality"))
+    phreds, bases = _sum(F.col("phreds")), _sum(F.col("bases"))
+    return kernels.quality_sums(reads).agg(F.count(F.lit(1)).alias("total_reads"), bases.alias("total_bases"), _ratio(phreds, bases, 4).alias("mean_quality"))
 
 
 def gc_content(reads: DataFrame) -> DataFrame:
-    return per_read(reads).agg(_ratio(_sum(F.col("g") + F.col("c")), _sum(F.col("len")), 4).alias("ratio"))
+    return kernels.base_sums(reads).agg(_ratio(_sum(F.col("g") + F.col("c")), _sum(F.col("len")), 4).alias("ratio"))
 
 
 def length_summary(reads: DataFrame) -> DataFrame:
@@ -144,7 +133,7 @@ def nx_statistics(reads: DataFrame) -> DataFrame:
 
 
 def entropy_stats(reads: DataFrame, low: float = 1.5) -> DataFrame:
-    h = per_read(reads).filter("len > 0").select(entropy({b: F.col(b) for b in "acgt"}, F.col("len")).alias("h"))
+    h = kernels.base_sums(reads).filter("len > 0").select(entropy({b: F.col(b) for b in "acgt"}, F.col("len")).alias("h"))
     return h.agg(F.coalesce(F.round(F.avg("h"), 4), F.lit(0.0)).alias("mean_entropy"), F.coalesce(F.round(F.sum("h"), 2), F.lit(0.0)).alias("total_entropy_sum"), F.count_if(F.col("h") < low).alias("low_complexity_reads"))
 
 
@@ -172,11 +161,16 @@ def overrepresented_top(reads: DataFrame, top: int = 20) -> DataFrame:
     return sequence_counts(reads).orderBy(F.desc("reads"), "sequence").limit(top)
 
 
+def _named(counts: DataFrame, k: int) -> DataFrame:
+    return counts.select(kmer_of(F.col("code"), k).alias("kmer"), F.col("code").alias("kmer_index"), F.col("n").alias("occurrences"))
+
+
 def kmer_counts(reads: DataFrame, k: int = 5) -> DataFrame:
-    """k-mers without N, with their base-4 number and count."""
-    exploded = reads.select(F.explode(kmers(normalized("seq"), k)).alias("kmer"))
-    counted = exploded.groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences")).filter(~F.contains("kmer", F.lit("N")))
-    return counted.select("kmer", kmer_id(F.col("kmer")).alias("kmer_index"), "occurrences") if k <= 31 else counted
+    """k-mers without N, with their base-4 number and count; beyond 31 bases there is no number."""
+    if k <= kernels.MAX_K:
+        return _named(kernels.code_counts(reads, k), k)
+    exploded = reads.select(F.explode(kmers(normalized("seq"), k)).alias("kmer")).filter(~F.contains("kmer", F.lit("N")))
+    return exploded.groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def kmer_total(reads: DataFrame, k: int = 5) -> DataFrame:
@@ -190,8 +184,7 @@ def kmer_spectrum_top3(reads: DataFrame, k: int = 5) -> DataFrame:
 
 def adapter_kmers(reads: DataFrame, k: int = 8, suffix: int = 20) -> DataFrame:
     """Counts of the k-mers in the last ``suffix`` bases of reads at least that long."""
-    tails = reads.filter(F.length("seq") >= suffix).select(F.right(normalized("seq"), F.lit(suffix)).alias("seq"))
-    return kmer_counts(tails, k)
+    return _named(kernels.code_counts(reads, k, suffix), k)
 
 
 def adapter_detect(reads: DataFrame, k: int = 8, suffix: int = 20) -> DataFrame:
@@ -203,13 +196,16 @@ def adapter_detect(reads: DataFrame, k: int = 8, suffix: int = 20) -> DataFrame:
 def taxonomic_screening(reads: DataFrame, signatures: DataFrame, k: int = 16) -> DataFrame:
     """Each read votes for the taxon most of its k-mers are signatures of (the first in order among equals); others are Unknown.
 
-    ``signatures`` (taxon, kmer) is broadcast only when its size in the catalog
-    is below Spark's broadcast threshold; otherwise the join shuffles.
+    ``signatures`` (taxon, kmer of ``k`` letters, up to 31; those with letters
+    beyond A, C, G, T match nothing) is broadcast only when its size in the
+    catalog is below Spark's broadcast threshold; otherwise the join shuffles.
     """
-    numbered = reads.select("id", F.explode(F.array_distinct(kmers(normalized("seq"), k))).alias("kmer"))
-    votes = numbered.join(signatures.select("taxon", "kmer").distinct(), "kmer").groupBy("id", "taxon").agg(F.count(F.lit(1)).alias("v"))
+    known = signatures.filter(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select("taxon", kmer_id(F.col("kmer")).alias("code")).distinct()
+    numbered = kernels.read_codes(reads, k).select("id", F.explode("codes").alias("code"))
+    votes = numbered.join(known, "code").groupBy("id", "taxon").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("id").agg(F.min_by("taxon", F.struct(-F.col("v"), "taxon")).alias("taxon"))
     called = best.groupBy("taxon").agg(F.count(F.lit(1)).alias("reads"))
+    # Both sides of this join are one row.
     total = reads.agg(F.count(F.lit(1)).alias("total"))
     unknown = total.join(called.agg(_sum(F.col("reads")).alias("known")), how="cross").select(F.lit("Unknown").alias("taxon"), (F.col("total") - F.col("known")).alias("reads"))
     return called.union(unknown)
@@ -223,7 +219,7 @@ def taxon_composition(counts: DataFrame) -> DataFrame:
 
 def quality_bands(reads: DataFrame) -> DataFrame:
     """Shares of bases below 20, below 30 and from 30 on."""
-    cells = _positions(reads, "qual", 1 << 30).groupBy("char").agg(F.count(F.lit(1)).alias("n")).select(phred(F.col("char")).alias("q"), "n")
+    cells = kernels.value_counts(reads, "qual", kernels.phreds()).select(F.col("kind").alias("q"), "n")
     band = F.when(F.col("q") < 20, "<20").when(F.col("q") < 30, "<30").otherwise(">=30")
     return cells.groupBy(band.alias("band")).agg(_sum(F.col("n")).alias("bases"))
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers, normalized, signature
+from ..functions import kernels
+from ..functions.sequence import normalized, signature
+
+#: A Mersenne prime, the modulus of the sketches' hashes.
+PRIME = (1 << 31) - 1
 
 
 def duplication_approx(reads: DataFrame, rsd: float = 0.01) -> DataFrame:
@@ -16,17 +20,22 @@ def duplication_approx(reads: DataFrame, rsd: float = 0.01) -> DataFrame:
 
 
 def overrepresented_sampled(reads: DataFrame, one_in: int = 4, top: int = 20) -> DataFrame:
-    """Counts over a sample of reads by the hash of their id, scaled up."""
-    kept = reads.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
+    """Counts over a sample of reads by the MD5 of their id, scaled up."""
+    lot = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    kept = reads.filter(F.pmod(lot, F.lit(one_in)) == 0)
     counted = kept.groupBy(normalized("seq").alias("sequence")).agg((F.count(F.lit(1)) * one_in).alias("reads"))
     return counted.orderBy(F.desc("reads"), "sequence").limit(top)
 
 
-def minhash(reads: DataFrame, k: int = 11, size: int = 16) -> DataFrame:
-    """id and the ``size`` minima of seeded k-mer hashes; reads without a valid k-mer are left out."""
-    words = F.filter(F.array_distinct(kmers(normalized("seq"), k)), lambda w: ~F.contains(w, F.lit("N")))
-    minima = [F.array_min(F.transform("words", lambda w, i=i: F.xxhash64(F.lit(i), w))) for i in range(size)]
-    return reads.select("id", words.alias("words")).filter(F.size("words") > 0).select("id", F.array(*minima).alias("sketch"))
+def permutations(size: int) -> list[tuple[int, int]]:
+    """Scale and shift of each of a sketch's hashes: powers of a generator of the prime's field."""
+    return [(pow(7, 2 * i + 1001, PRIME), pow(7, 2 * i + 2002, PRIME)) for i in range(size)]
+
+
+def minhash(reads: DataFrame, k: int = 11, size: int = 16, key: str = "id") -> DataFrame:
+    """id (what ``key`` holds) and the ``size`` minima of hashes of the base-4 k-mers; reads without a valid k-mer are left out."""
+    scale, shift = zip(*permutations(size))
+    return kernels.sketch_rows(reads, key, k, list(scale), list(shift), PRIME)
 
 
 def sketch_similarity(a: str = "a", b: str = "b"):
@@ -48,7 +57,7 @@ def minhash_similarity(reads: DataFrame, k: int = 11, size: int = 16, bands: int
     named = reads.select("id", normalized("seq").alias("seq")).filter(F.col("seq").rlike(f"[ACGT]{{{k}}}"))
     heads = named.groupBy("seq").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("n"))
     sketches = minhash(heads.select(F.struct("other", F.xxhash64("seq").alias("h")).alias("id"), "seq"), k, size)
-    keys = F.array(*[F.xxhash64(F.slice("sketch", i * rows + 1, rows)) for i in range(bands)])
+    keys = F.array(*[F.slice("sketch", i * rows + 1, rows) for i in range(bands)])
     keyed = sketches.withColumn("keys", keys).select("id", "sketch", "keys", F.posexplode("keys").alias("band", "key"))
     # A pair meets in each band it shares; it is taken from the first of them.
     first = F.array_position(F.zip_with("a.keys", "b.keys", lambda x, y: x == y), True) == F.col("a.band") + 1

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import phred_sum
+from ..functions import kernels
 
 
 def trim(reads: DataFrame, front: int = 0, tail: int = 0) -> DataFrame:
@@ -29,18 +29,15 @@ def trimmed(reads: DataFrame, adapter: str | None = None, front: int = 0, tail:
     return remove_adapter(trim(reads, front, tail), adapter)
 
 
-def passes_quality(min_quality: float) -> Column:
-    """Mean Phred of at least ``min_quality``; an empty quality passes."""
-    return (F.length("qual") == 0) | (phred_sum("qual") / F.nullif(F.length("qual"), F.lit(0)) >= min_quality)
-
-
 def quality_filter(reads: DataFrame, min_quality: float = 20.0) -> DataFrame:
-    return reads.filter(passes_quality(min_quality))
+    """Reads with a mean Phred value of at least ``min_quality``; an empty quality passes."""
+    return kernels.passing(reads, min_quality)
 
 
 def filter_stats(reads: DataFrame, min_quality: float = 20.0) -> DataFrame:
-    seen, passed = F.count(F.lit(1)), F.count_if(passes_quality(min_quality))
-    return reads.agg(seen.alias("reads_seen"), passed.alias("reads_passed"), (seen - passed).alias("reads_filtered"))
+    seen = F.count(F.lit(1))
+    passed = F.count_if((F.col("size") == 0) | (F.col("phreds") / F.nullif(F.col("size"), F.lit(0)) >= min_quality))
+    return kernels.quality_sums(reads).agg(seen.alias("reads_seen"), passed.alias("reads_passed"), (seen - passed).alias("reads_filtered"))
 
 
 def filter_yield(reads: DataFrame, min_quality: float = 20.0) -> DataFrame:

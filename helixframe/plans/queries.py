@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.sequence import signature, two_bit
 from ..operators import alignments as A
 from ..operators import reads as R
 from ..operators import sketches as S
 from ..operators import transforms as T
+from ..sources import generate
+from ..sources.bam import read_bam, write_bam
 from ..sources.fastq import read_fastq, write_fastq
+from ..sources.scratch import shared_path
 from ..streaming.telemetry import Session
 from .derived import ALIGNMENTS_SQL, DOCUMENT_READS_SQL, READS_SQL, alignments, document_reads, reads
 
@@ -109,28 +112,18 @@ _add("read_signature", lambda s, d: reads(s, d).groupBy(signature("seq").alias("
 
 
 def _signatures(frame: DataFrame, k: int = 16) -> DataFrame:
-    """Toy signatures: k-mers that start the first parts' hashed sequences, a taxon each."""
+    """Toy signatures: k-mers that start the parts' hashed sequences, a taxon each."""
     return frame.select(F.concat(F.lit("taxon_"), F.col("p_partkey").cast("string")).alias("taxon"), F.substring(F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGN"), 1, k).alias("kmer")).filter("not contains(kmer, 'N')")
 
 
 def _taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey <= 50")
-    return R.taxonomic_screening(reads(spark, sf_dir), _signatures(part))
-
-
-_TAXA = "sig as (select 'taxon_' || p_partkey::varchar as taxon, substr(translate(md5(p_partkey::varchar),'0123456789abcdef','ACGTACGTACGTACGN'),1,16) as kmer from part where p_partkey <= 50), s1 as (select distinct taxon, kmer from sig where not contains(kmer,'N')), rk as (select distinct id, substr(s,i::int,16) as kmer from (select id, s, unnest(range(1,length(s)-14)) as i from (select id, " + _NSEQ + " as s from r) where length(s)>=16)), v as (select id, taxon, count(*) as v from rk join s1 using (kmer) group by all), best as (select id, arg_min(taxon, (-v, taxon)) as taxon from v group by 1), c as (select taxon, count(*) as reads from best group by 1), tx as (select taxon, reads from c union all select 'Unknown', (select count(*) from r) - coalesce((select sum(reads) from c),0)::bigint)"
-_add("taxonomic_screening", _taxa, _with(_TAXA) + "select taxon, reads::bigint as reads from tx")
-_add("taxon_composition", lambda s, d: R.taxon_composition(_taxa(s, d)), _with(_TAXA) + "select taxon, round(reads*100.0::double/(select sum(reads) from tx where reads>0),4) as percent from tx where reads > 0")
-
-
-def _all_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads against the signatures of the whole part table."""
     return R.taxonomic_screening(reads(spark, sf_dir), _signatures(spark.read.parquet(f"{sf_dir}/part.parquet")))
 
 
-_ALL_TAXA = _TAXA.replace(" where p_partkey <= 50", "")
-_add("taxonomic_screening_all", _all_taxa, _with(_ALL_TAXA) + "select taxon, reads::bigint as reads from tx")
-_add("taxon_composition_all", lambda s, d: R.taxon_composition(_all_taxa(s, d)), _with(_ALL_TAXA) + "select taxon, round(reads*100.0::double/(select sum(reads) from tx where reads>0),4) as percent from tx where reads > 0")
+_TAXA = "sig as (select 'taxon_' || p_partkey::varchar as taxon, substr(translate(md5(p_partkey::varchar),'0123456789abcdef','ACGTACGTACGTACGN'),1,16) as kmer from part), s1 as (select distinct taxon, kmer from sig where not contains(kmer,'N')), rk as (select distinct id, substr(s,i::int,16) as kmer from (select id, s, unnest(range(1,length(s)-14)) as i from (select id, " + _NSEQ + " as s from r) where length(s)>=16)), v as (select id, taxon, count(*) as v from rk join s1 using (kmer) group by all), best as (select id, arg_min(taxon, (-v, taxon)) as taxon from v group by 1), c as (select taxon, count(*) as reads from best group by 1), tx as (select taxon, reads from c union all select 'Unknown', (select count(*) from r) - coalesce((select sum(reads) from c),0)::bigint)"
+_add("taxonomic_screening", _taxa, _with(_TAXA) + "select taxon, reads::bigint as reads from tx")
+_add("taxon_composition", lambda s, d: R.taxon_composition(_taxa(s, d)), _with(_TAXA) + "select taxon, round(reads*100.0::double/(select sum(reads) from tx where reads>0),4) as percent from tx where reads > 0")
 
 
 def _alignments(name: str, stage: Callable[..., DataFrame], sql: str, **params) -> None:
@@ -152,54 +145,102 @@ _alignments("insert_size_hist", A.insert_size_hist, "select (template_length//50
 _alignments("cigar_stats", A.cigars, f"select cigar, count(*) as records, any_value(aligned) as aligned, any_value(ins) as insertions, any_value(del) as deletions, any_value(soft) as soft_clips from {_C} group by 1")
 
 _reads("duplication_approx", S.duplication_approx)
-_reads("overrepresented_sampled", S.overrepresented_sampled)
-_add("minhash_similarity", lambda s, d: S.minhash_similarity(reads(s, d)))
+_reads("overrepresented_sampled", S.overrepresented_sampled, _with(f"d as (select {_NSEQ} as sequence, count(*) * 4 as reads from r where ('0x' || substr(md5(id), 1, 8))::bigint % 4 = 0 group by 1)") + "select sequence, reads from d order by reads desc, sequence limit 20")
+
+#: Sketches are minima over the base-4 numbers of the k-mers; bands are four of them in a row.
+_MINIMA = ", ".join(f"list_min([({a} * x + {b}) % {S.PRIME} for x in codes])" for a, b in S.permutations(16))
+_MINHASH = (
+    f"nm as (select id, seq from (select id, {_NSEQ} as seq from r) where regexp_matches(seq, '[ACGT]{{11}}')), "
+    "hd as (select seq, min(id) as other from nm group by 1), "
+    f"cd as (select seq, other, [{_INDEX.format(k=11).replace('kmer', 'm')} % {S.PRIME} for m in [substr(seq, i::int, 11) for i in range(1, length(seq) - 9)] if not contains(m, 'N')] as codes from hd), "
+    f"sk as (select other, seq, [{_MINIMA}] as sketch from cd), "
+    "ky as (select other, seq, sketch, unnest([{'band': 1, 'key': sketch[1:4]}, {'band': 2, 'key': sketch[5:8]}, {'band': 3, 'key': sketch[9:12]}, {'band': 4, 'key': sketch[13:16]}]) as x from sk), "
+    "pr as (select distinct a.other as id, b.other as other, a.seq as seq1, b.seq as seq2, a.sketch as s1, b.sketch as s2 from ky a join ky b on a.x = b.x and (a.other > b.other or a.other = b.other and a.seq > b.seq)) "
+)
+_add(
+    "minhash_similarity",
+    lambda s, d: S.minhash_similarity(reads(s, d)),
+    _with(_MINHASH) + "select id, other, round(len([i for i in range(1, 17) if s1[i::int] = s2[i::int]])::double / 16, 4) as similarity from pr union all select nm.id, hd.other, 1.0::double from nm join hd using (seq) where nm.id <> hd.other",
+)
 
 
 def _bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter of the quantities 1 to 25 asked for all of them; what is in it is never missed."""
+    """A filter of the quantities 1 to 25 asked for every quantity: none it holds is missed, and few others seem to be in it."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("bigint").alias("v"))
-    held = S.bloom_build(rows.filter("v <= 25"), "v", 25)
-    return S.bloom_contains(rows.filter("v <= 25"), "v", held, 25).agg(F.count(F.lit(1)).alias("distinct_values"), F.count_if(~F.col("maybe")).alias("missed"))
+    asked = S.bloom_contains(rows, "v", S.bloom_build(rows.filter("v <= 25"), "v", 25), 25)
+    wrong = F.count_if(F.expr("v > 25 and maybe"))
+    return asked.agg(F.count(F.lit(1)).alias("distinct_values"), F.count_if(F.expr("v <= 25 and not maybe")).alias("missed"), (wrong <= 3).alias("few_false_positives"))
 
 
-_add("bloom_filter", _bloom, "select count(distinct l_quantity::bigint) as distinct_values, 0::bigint as missed from lineitem where l_quantity <= 25")
+_add("bloom_filter", _bloom, "select count(distinct l_quantity::bigint) as distinct_values, 0::bigint as missed, true as few_false_positives from lineitem")
 
 
-def _bloom_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter of the quantities 1 to 25 asked for every quantity, beside the exact set: what it misses and what it holds in error."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("bigint").alias("v"))
-    held = S.bloom_build(rows.filter("v <= 25"), "v", 25)
-    return S.bloom_contains(rows, "v", held, 25).agg(F.count(F.lit(1)).alias("distinct_values"), F.count_if(F.expr("v <= 25 and not maybe")).alias("missed"), F.count_if(F.expr("v > 25 and maybe")).alias("false_positives"))
+def _fastq_scan(compression: str, **options: str) -> Query:
+    """Write the reads as FASTQ files and scan them back."""
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        write_fastq(reads(spark, sf_dir), path := shared_path(spark, "fastq"), compression)
+        return R.basic_stats(read_fastq(spark, path, columns="seq", **options))
 
-_add("bloom_filter_all", _bloom_all)
+    return query
 
 
-def _scratch(spark: SparkSession, kind: str) -> str:
-    """A new path below the session's shared folder, or a local one where it names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or tempfile.mkdtemp(prefix='helixframe-')).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def _fastq_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a short quality or a wrong separator among the reads, counted by what a checked scan says of them."""
+    broken = F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.when(F.col("id").endswith(".2"), "\n-\n").otherwise("\n+\n"), F.when(F.col("id").endswith(".1"), F.expr("substr(qual, 2)")).otherwise(F.col("qual")))
+    reads(spark, sf_dir).select(broken.alias("value")).write.mode("overwrite").text(path := shared_path(spark, "broken"))
+    return read_fastq(spark, path, mode="PERMISSIVE").groupBy(F.coalesce("_error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("reads"))
 
 
-def _fastq_scan(compression: str) -> Query:
-    """Write the reads as FASTQ files and scan them back."""
+def _live(view: str) -> Query:
+    """A live view after a stream has taken in all reads."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        write_fastq(reads(spark, sf_dir), path := _scratch(spark, "fastq"), compression)
-        return R.basic_stats(read_fastq(spark, path, columns="seq"))
+        reads(spark, sf_dir).write.mode("overwrite").parquet(path := shared_path(spark, "stream"))
+        live = Session(spark, path, kind="parquet", name=f"live_{uuid.uuid4().hex}").start(once=True)
+        live.query.awaitTermination()
+        return live.table(view)
 
     return query
 
 
-def _live_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scalar live view after a stream has taken in all reads."""
-    reads(spark, sf_dir).write.parquet(path := _scratch(spark, "stream"))
-    live = Session(spark, path, kind="parquet", views=("scalars",), name=f"live_{uuid.uuid4().hex}").start(once=True)
-    live.queries[0].awaitTermination()
-    return live.table("scalars")
+def _bam_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the alignments as BAM files and scan them back in splits."""
+    write_bam(alignments(spark, sf_dir), path := shared_path(spark, "bam"), 23)
+    return read_bam(spark, path, columns="flag,reference_id,position,mapping_quality,cigar,template_length", splitBytes=str(1 << 17))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.report_counts(reads(spark, sf_dir), R.LENGTH_CAP, R.QUALITY_POSITIONS, R.QUALITY_CAP)
+
 
+_REPORT = _with(_BASES, _CHARS) + """, rp as (
+ select 'reads' as what, 0 as x, 0 as y, count(*) as n from b union all select 'bases', 0, 0, sum(len)::bigint from b union all select 'bad', 0, 0, sum(bad)::bigint from b
+ union all select 'shortest', 0, 0, min(len) from b union all select 'longest', 0, 0, max(len) from b
+ union all select 'base', i, 0, n from (select unnest([{'i': 0, 'n': sum(a)}, {'i': 1, 'n': sum(c)}, {'i': 2, 'n': sum(g)}, {'i': 3, 'n': sum(t)}, {'i': 4, 'n': sum(n)}], recursive := true) from b) where n > 0
+ union all select 'gc', least(cast(floor(((g+c)::float/len::float)*100::float) as int),100), 0, count(*) from b where len > 0 group by all
+ union all select 'length', least(len, 999), 0, count(*) from b group by all
+ union all select 'quality', pos, least(phred, 93), count(*) from q where pos < 512 group by all)
+select what, x::int as x, y::int as y, n::bigint as n from rp"""
 
+_add("report_counts", _report, _REPORT)
 _add("fastq_scan", _fastq_scan("none"), ORACLE_SQL["basic_stats"])
 _add("fastq_scan_gzip", _fastq_scan("gzip"), ORACLE_SQL["basic_stats"])
-_add("live_telemetry", _live_telemetry, _with(_BASES) + 'select count(*) as read_count, sum(len)::bigint as total, sum(g+c)::bigint as gc, sum(a+t)::bigint as "at", sum(n)::bigint as n from b')
+_add("fastq_scan_bgzf", _fastq_scan("bgzf", splitBytes=str(1 << 17)), ORACLE_SQL["basic_stats"])
+_add("fastq_modes", _fastq_modes, _with() + "select case when id like '%.1' then 'MismatchedSequenceQuality' when id like '%.2' then 'InvalidFormat' else 'none' end as error, count(*) as reads from r group by 1")
+_add("bam_scan", _bam_scan, f"select flag, reference_id, position, mapping_quality, cigar, template_length from ({ALIGNMENTS_SQL})")
+_add("live_telemetry", _live("scalars"), _with(_BASES) + 'select count(*) as read_count, sum(len)::bigint as total, sum(g+c)::bigint as gc, sum(a+t)::bigint as "at", sum(n)::bigint as n, sum(bad)::bigint as violations from b')
+_add("live_gc", _live("gc"), ORACLE_SQL["gc_distribution"])
+_add("live_lengths", _live("lengths"), ORACLE_SQL["length_distribution"])
+_add("live_heatmap", _live("heatmap"), _with(_CHARS) + "select pos::int as pos, least(phred,41)::int as phred, count(*) as reads from q where pos < 150 group by all")
+
+_GEN = "g as (select i as id, translate(substr(md5('{s}.0.'||i)||md5('{s}.1.'||i)||md5('{s}.2.'||i)||md5('{s}.3.'||i)||md5('{s}.4.'||i), 1, 160), '0123456789abcdef', 'ACGTACGTACGTACGT') as t from range({n}) x(i))"
+_add("generated_constant", lambda s, d: generate.constant_quality(s, 2000), "with " + _GEN.format(s=1, n=2000) + " select 'read_'||id as id, substr(t, 1, 16) as seq, repeat('I', 16) as qual from g")
+_LOT = "(('0x'||substr(md5('{s}.'||i),1,8))::bigint % {n})"
+_add(
+    "generated_mixed",
+    lambda s, d: generate.mixed(s, 2000),
+    "with " + _GEN.format(s=9, n=2000) + f", p as (select i as read, case when {_LOT.format(s=7, n=100)} >= 95 then 0 else i end as id, {_LOT.format(s=7, n=100)} as u, case when {_LOT.format(s=7, n=100)} >= 95 then 100 else {_LOT.format(s=8, n=76)} + 75 end as n from range(2000) x(i)) "
+    f"select 'read_'||read as id, case when u = 0 then repeat('A', n) when u = 1 then translate(substr(t, 1, n::int), 'CT', 'NN') when u < 4 then substr(t, 1, (n - {len(generate.TRUSEQ)})::int)||'{generate.TRUSEQ}' else substr(t, 1, n::int) end as seq, "
+    "array_to_string([chr((73 - i // 5)::int) for i in range(n)], '') as qual from p join g using (id)",
+)

@@ -41,7 +41,7 @@ class Range(InputPartition):
 
 
 def _open(path: str):
-    where, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    where, name = parsing.filesystem(path)
     return where.open_input_file(name)
 
 
@@ -71,15 +71,23 @@ def range_records(part: Range, incomplete: bool = False, max_ratio: int = 0) ->
         if part.compression == "gzip":
             yield from parsing.records(parsing.lines(parsing.gunzip(_chunks(stream, 0))), incomplete=incomplete)
         elif part.compression == "none":
-            limit = None if part.end is None else part.end - part.begin
+            limit = None if part.end is None else parsing.Limit(part.end - part.begin, True)
             yield from parsing.records(parsing.lines(_chunks(stream, part.begin)), limit, part.begin > 0, incomplete)
         else:
-            # Bytes of the blocks that start within the range; the last record may go on in the blocks after.
-            own = sum(len(d) for _, d in parsing.bgzf_blocks(stream, part.begin, part.end, max_ratio)) if part.end is not None else None
-            if own == 0:
-                return
-            data = (d for _, d in parsing.bgzf_blocks(stream, part.begin, None, max_ratio))
-            yield from parsing.records(parsing.lines(data), own, part.begin > 0, incomplete)
+            # The limit is the bytes of the blocks that start within the range, known once a later block is met; the last record may go on there.
+            own = parsing.Limit()
+
+            def data():
+                for at, d in parsing.bgzf_blocks(stream, part.begin, None, max_ratio):
+                    if part.end is None or at < part.end:
+                        own.bytes += len(d)
+                    else:
+                        own.known = True
+                        if own.bytes == 0:
+                            return
+                    yield d
+
+            yield from parsing.records(parsing.lines(data()), own if part.end is not None else None, part.begin > 0, incomplete)
 
 
 class FastqReader(DataSourceReader):
@@ -173,6 +181,9 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
-    """A folder of FASTQ part files, plain or gzip."""
-    text = F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
-    reads.select(text.alias("value")).write.mode("overwrite").option("compression", compression).text(path)
+    """A folder of FASTQ part files: plain, gzip or bgzf."""
+    text = reads.select(F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+    if compression == "bgzf":
+        parsing.write_parts(text, path, lambda batches: parsing.bgzf_compress("".join(x + "\n" for b in batches for x in b.column(0).to_pylist()).encode()), "fastq.gz")
+    else:
+        text.write.mode("overwrite").option("compression", compression).text(path)

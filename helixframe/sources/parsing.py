@@ -1,10 +1,15 @@
-"""FASTQ parsing, BGZF blocks and gzip members, free of Spark."""
+"""FASTQ parsing, BGZF blocks and gzip members; all but ``write_parts`` is free of Spark."""
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow import fs
 
 BLOCK_LIMIT = 1 << 16
 BGZF_EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -15,6 +20,36 @@ class FormatError(ValueError):
     """Names one of ``ERRORS`` first."""
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and its name there."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def write_parts(rows, path: str, encode: Callable[[Iterable[pa.RecordBatch]], bytes], suffix: str) -> None:
+    """A file for each partition of a DataFrame, moved into place when it is whole, so a task that runs again does no harm."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        where, name = filesystem(path)
+        where.create_dir(name)
+        made, target = f"{name.rstrip('/')}/_{uuid.uuid4().hex}", f"{name.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.{suffix}"
+        with where.open_output_stream(made) as out:
+            out.write(encode(batches))
+        where.move(made, target)
+        yield pa.RecordBatch.from_arrays([pa.array([target])], ["path"])
+
+    rows.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+@dataclass
+class Limit:
+    """The last byte at which a record of a range may start, which may become known only while reading."""
+
+    bytes: int = 0
+    known: bool = False
+
+
 def sniff(head: bytes) -> str:
     """none, gzip or bgzf from a file's first bytes."""
     if head[:2] != b"\x1f\x8b":
@@ -108,15 +143,22 @@ def gunzip(chunks: Iterable[bytes]) -> Iterator[bytes]:
 
 def lines(chunks: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each line, without line ends; a last line needs none."""
-    rest, at = b"", 0
+    rest: list[bytes] = []
+    at = 0
     for chunk in chunks:
-        parts = (rest + chunk).split(b"\n")
-        rest = parts.pop()
+        parts = chunk.split(b"\n")
+        if len(parts) > 1:
+            # What a long line began is joined once, when its end is met.
+            parts[0] = b"".join([*rest, parts[0]])
+            rest = []
+        last = parts.pop()
+        if last:
+            rest.append(last)
         for part in parts:
             yield at, part[:-1] if part.endswith(b"\r") else part
             at += len(part) + 1
-    if rest:
-        yield at, rest[:-1] if rest.endswith(b"\r") else rest
+    if tail := b"".join(rest):
+        yield at, tail[:-1] if tail.endswith(b"\r") else tail
 
 
 Record = tuple[str, str, str, str | None]
@@ -139,7 +181,7 @@ def _looks_right(four: list[bytes]) -> bool:
     return four[0].startswith(b"@") and four[2].startswith(b"+") and len(four[1]) == len(four[3])
 
 
-def records(numbered: Iterable[tuple[int, bytes]], limit: int | None = None, resync: bool = False, incomplete: bool = False) -> Iterator[Record]:
+def records(numbered: Iterable[tuple[int, bytes]], limit: Limit | None = None, resync: bool = False, incomplete: bool = False) -> Iterator[Record]:
     """Records (id, seq, qual, error) that start at or before ``limit``.
 
     Lines before one that starts with @ are skipped. With ``resync`` the first
@@ -164,7 +206,7 @@ def records(numbered: Iterable[tuple[int, bytes]], limit: int | None = None, res
             ahead.pop(0)
     while more(1):
         at, line = ahead[0]
-        if limit is not None and at > limit:
+        if limit is not None and limit.known and at > limit.bytes:
             return
         if not line.startswith(b"@"):
             ahead.pop(0)

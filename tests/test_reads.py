@@ -181,3 +181,34 @@ def test_config():
     assert c.approximate and c.pipeline == ["n50"]
     with pytest.raises(ValueError):
         PipelineConfig(mode="other")
+
+
+def test_signatures_from_a_file(spark, tmp_path):
+    from helixframe.sources.signatures import read_signatures
+
+    (tmp_path / "s.tsv").write_text("taxon\tkmer\nphix\tacgtacgtacgtacgt\nodd\tACGTNCGTACGTACGT\n")
+    known = read_signatures(spark, str(tmp_path / "s.tsv"))
+    reads = spark.createDataFrame([("a", "ACGTACGTACGTACGTA", "I" * 17), ("b", "T" * 20, "I" * 20), ("c", "ACGTNCGTACGTACGT", "I" * 16)], "id string, seq string, qual string")
+    assert {(r.taxon, r.reads) for r in R.taxonomic_screening(reads, known).collect()} == {("phix", 1), ("Unknown", 2)}
+
+
+def test_kernels_on_awkward_reads(spark):
+    rows = [("a", None, None), ("b", "", ""), ("c", "acgtN-é", "!~IéI一I"), ("d", "ACGT" * 300, "I" * 1200)]
+    reads = spark.createDataFrame(rows, "id string, seq string, qual string").repartition(3)
+    got = R.fused(reads).first()
+    assert (got.total_reads, got.total_bases, got.min_length, got.max_length, got.n_count, got.integrity_violations) == (4, 1207, 0, 1200, 3, 2)
+    brute = {}
+    for _, _, q in rows:
+        for i, c in enumerate((q or "")[:512]):
+            cell = (i, min(max(min(ord(c), 255) - 33, 0), 93))
+            brute[cell] = brute.get(cell, 0) + 1
+    assert {(r.pos, r.phred): r.reads for r in R.quality_dist(reads).collect()} == brute
+    for k in (3, 11, 31, 33):
+        want = {}
+        for _, s, _ in rows:
+            s = (s or "").upper()
+            for i in range(len(s) - k + 1):
+                if set(w := s[i : i + k]) <= set("ACGT"):
+                    want[w] = want.get(w, 0) + 1
+        assert {r.kmer: r.occurrences for r in R.kmer_counts(reads, k).collect()} == want
+    assert R.quality_dist(reads.filter("false")).count() == R.kmer_counts(reads.filter("false")).count() == 0

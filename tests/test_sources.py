@@ -1,7 +1,10 @@
 """FASTQ and BAM reading: formats, splits, modes and round trips."""
 
 import gzip
+import os
 import struct
+import time
+import uuid
 
 import pytest
 from hypothesis import given, settings
@@ -9,8 +12,11 @@ from hypothesis import strategies as st
 
 from helixframe import api
 from helixframe.__main__ import main
+from helixframe.operators import alignments as A
+from helixframe.operators import reads as R
+from helixframe.plans.report import alignment_report, read_report
 from helixframe.sources import fastq, generate, parsing
-from helixframe.sources.bam import bam_records, read_bam
+from helixframe.sources.bam import bam_records, read_bam, simulate_alignments, write_bam
 
 
 def text(n, k=0):
@@ -40,6 +46,32 @@ def test_ranges_own_each_record_once(tmp_path):
         assert got == rows
 
 
+def test_a_long_line_over_many_chunks():
+    line = b"A" * 100_000
+    pieces = [(b"@x\n" + line + b"\n+\n" + line)[i : i + 97] for i in range(0, 200_010, 97)]
+    assert [x for _, x in parsing.lines(pieces)] == [b"@x", line, b"+", line]
+
+
+def test_bgzf_blocks_are_inflated_once(tmp_path, monkeypatch):
+    rows, raw = text(2000)
+    path = tmp_path / "a.fastq.gz"
+    path.write_bytes(parsing.bgzf_compress(raw, 4000))
+    size, seen, blocks = path.stat().st_size, [], parsing.bgzf_blocks
+
+    def counted(*args):
+        for at, data in blocks(*args):
+            seen.append(at)
+            yield at, data
+
+    monkeypatch.setattr(parsing, "bgzf_blocks", counted)
+    got = []
+    for b in range(0, size, 1500):
+        got += [r[:3] for r in fastq.range_records(fastq.Range(str(path), b, b + 1500 if b + 1500 < size else None, "bgzf"))]
+    assert got == rows
+    # A range may look one or two blocks ahead for its last record, no more.
+    assert len(seen) <= 3 * len(set(seen))
+
+
 def test_columns_and_crlf(spark, tmp_path):
     _, raw = text(5)
     (tmp_path / "a.fq").write_bytes(raw.replace(b"\n", b"\r\n").rstrip())
@@ -107,6 +139,87 @@ def test_bam(spark, tmp_path):
     assert api.bamstats(str(tmp_path / "a.bam"), 100)["stages"]["alignment_stats"]["mapped_reads"] == 1
 
 
+def test_bam_splits_own_each_record_once(tmp_path, spark):
+    letters = "ACGT"
+    made = [(i % 4096, i, i % 61, [(i % 50 + 1, "M"), (i % 3 + 1, "S")], "".join(letters[(i * j) % 4] for j in range(i % 50 + i % 3 + 2)), i % 900) for i in range(3000)]
+    path = tmp_path / "a.bam"
+    path.write_bytes(parsing.bgzf_compress(bam(made), 3000))
+    whole = read_bam(spark, str(path)).collect()
+    assert sorted(r.position for r in whole) == list(range(3000))
+    for split in ("2000", "7001", "30000"):
+        got = read_bam(spark, str(path), splitBytes=split)
+        assert got.rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole))
+
+
+def test_bam_round_trip_and_damage(tmp_path, spark):
+    made = simulate_alignments(spark, 500)
+    write_bam(made, str(tmp_path / "out"), 24)
+    got = read_bam(spark, str(tmp_path / "out"))
+    assert got.count() == 500 and got.exceptAll(made).count() == 0
+    assert read_bam(spark, str(tmp_path / "out"), columns="cigar").columns == ["cigar"]
+    with pytest.raises(parsing.FormatError, match="InvalidFormat"):
+        list(bam_records(b"nothing"))
+    with pytest.raises(parsing.FormatError, match="IncompleteRecord"):
+        list(bam_records(bam([(0, 9, 0, [(3, "M")], "GGG", 0)])[:-2]))
+
+
+def scans(spark, tmp_path, schema, rows, report):
+    """How often a report reads each partition of its input."""
+    marks = str(tmp_path / "marks")
+    os.makedirs(marks)
+
+    def run(batches):
+        open(f"{marks}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    source = rows.repartition(2).mapInArrow(run, schema)
+    found = report(source)
+    return found, len(os.listdir(marks)) / 2
+
+
+def test_reports_scan_once(spark, tmp_path):
+    reads = generate.mixed(spark, 300)
+    found, n = scans(spark, tmp_path, reads.schema, reads, read_report)
+    assert n == 1
+    assert found["basic_stats"] == R.basic_stats(reads).first().asDict() and found["n_statistics"] == R.n_statistics(reads).first().asDict()
+    assert found["nucleotide_composition"] == R.nucleotide_composition(reads).first().asDict()
+    assert {i: x for i, x in enumerate(found["gc_distribution"]["bins"]) if x} == {r.bin: r.reads for r in R.gc_distribution(reads).collect()}
+    assert {i: x for i, x in enumerate(found["length_distribution"]["bins"]) if x} == {r.bin: r.reads for r in R.length_distribution(reads).collect()}
+    data = found["quality_dist"]["data"]
+    assert {(i, j): x for i, row in enumerate(data) for j, x in enumerate(row) if x} == {(r.pos, r.phred): r.reads for r in R.quality_dist(reads).collect()}
+
+
+def test_alignment_report_scans_once(spark, tmp_path):
+    records = simulate_alignments(spark, 700)
+    found, n = scans(spark, tmp_path, records.schema, records, lambda r: alignment_report(r, 1000)["stages"])
+    assert n == 1
+    assert found["alignment_stats"] == A.alignment_stats(records).first().asDict() and found["coverage"] == A.coverage(records, 1000).first().asDict()
+    assert found["error_rate_stats"] == A.error_rate(records).first().asDict() and found["soft_clipping"] == A.soft_clipping(records).first().asDict()
+    insert = dict(found["insert_size"])
+    bins = insert.pop("histogram_500bp_bins")
+    assert insert == A.insert_size(records).first().asDict() and {i: x for i, x in enumerate(bins) if x} == {r.bin: r.pairs for r in A.insert_size_hist(records).collect()}
+
+
+def test_a_run_can_be_cancelled(spark):
+    def slow(batches):
+        import time
+
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    run = api.Run(lambda: {"read_count": spark.range(10).mapInArrow(slow, "id long").count()})
+    began = time.time()
+    while not spark.sparkContext.statusTracker().getActiveJobsIds() and time.time() - began < 30:
+        time.sleep(0.1)
+    run.cancel()
+    with pytest.raises(Exception, match="cancel"):
+        run.result(30)
+    assert time.time() - began < 50
+    assert api.Run(lambda: {"read_count": 1}).result(30) == {"read_count": 1}
+
+
 def test_api_and_cli(spark, tmp_path, capsys):
     (tmp_path / "one.fastq").write_bytes(b"@READ_1\nACGT\n+\nIIII\n")
     path = str(tmp_path / "one.fastq")
