@@ -22,6 +22,7 @@ class FormatError(ValueError):
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or address, and its name there."""
+    path = "s3" + path[3:] if path.startswith(("s3a://", "s3n://")) else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
