@@ -7,8 +7,12 @@ so a key that a third of all documents hold is one entry per block, and sorting
 happens in NumPy within Spark's tasks. The texts are shuffled to their blocks
 once; later passes over a block reuse that exchange.
 
-The number of blocks and of buckets follows the corpus' bytes. All passes are
-plain lineage over shuffles: a lost executor's tasks run again.
+The number of blocks and of buckets follows the corpus' bytes. A block sends a
+row to every bucket, so blocks grow with the root of the corpus, from
+``BLOCK_BYTES`` at ``ROOT_BYTES`` to ``MOST_BYTES`` at most: up to 32 GB the rows
+between blocks and buckets grow in proportion to the input. Beyond, they grow
+faster until a row holds a single key, as in an exchange that packs nothing.
+All passes are plain lineage over shuffles: a lost executor's tasks run again.
 """
 
 from __future__ import annotations
@@ -21,24 +25,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
-from .common import text_of
+from .common import quoted, text_of
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, ROOT_BYTES = 2 << 20, 512 << 20
+LEAST_BYTES, MOST_BYTES = 256 << 10, 16 << 20
 #: Stands for a null id within blocks; it sorts before all others.
 NULL_ID = -(1 << 63)
 KEYS = "block int, bucket int, keys binary, more binary"
 TEXT_KEY = ["h", "h2"]
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> tuple[DataFrame, int]:
+def block_size(total: int) -> int:
+    """The bytes of a block of a corpus of so many bytes."""
+    return int(min(MOST_BYTES, max(LEAST_BYTES, BLOCK_BYTES * math.sqrt(total / ROOT_BYTES))))
+
+
+def blocked(docs: DataFrame, block_bytes: int | None = None, carry: bool = False) -> tuple[DataFrame, int]:
     """doc_id (nulls as ``NULL_ID``), text, its 96-bit key (h, h2) and block of each document, and the number of blocks.
 
-    With ``carry`` the whole row goes along as ``row``, its text left out.
+    With ``carry`` the whole row goes along as ``row``: its columns but the text as ``own``, and whether the text is null.
     """
-    whole = [F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNull().alias("__null")).alias("row")] if carry else []
-    kept = docs.select(F.col("doc_id"), text_of().alias("text"), *whole).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
+    own = F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns if c != "text"))
+    whole = [F.struct(own.alias("own"), F.col("text").isNull().alias("no_text")).alias("row")] if carry else []
+    kept = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"), *whole)
     total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, math.ceil(total / block_bytes))
+    count = max(1, math.ceil(total / (block_bytes or block_size(total))))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
     return kept.select("doc_id", "text", *(["row"] if carry else []), F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2"), block.alias("block")), count
 
@@ -68,6 +79,22 @@ def roster_of(wanted: pa.Table) -> np.ndarray:
     return pair_keys(wanted["rep"].to_numpy(), wanted["rep_h"].to_numpy())
 
 
+#: Stands for the bucket in roster rows, which go straight to their block.
+ROSTER = -1
+
+
+def rosters(placed: DataFrame, count: int) -> DataFrame:
+    """block, bucket (``ROSTER``) and entry, 16 bytes, of each document that stands for its text."""
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    return firsts(placed, count).select("block", F.lit(ROSTER).alias("bucket"), F.unhex(F.concat(digits("rep"), digits("rep_h"))).alias("entry"))
+
+
+def roster_from(entries: pa.ChunkedArray) -> np.ndarray:
+    """The pair keys of roster entries."""
+    pairs = np.frombuffer(b"".join(entries.to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+    return pair_keys(pairs[:, 0], pairs[:, 1])
+
+
 def split_keys(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts 64-bit keys by bucket and key, the 32-bit keys in it, and the buckets' n + 1 offsets.
 

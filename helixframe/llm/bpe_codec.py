@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_text
+from .common import bounded, id_and_text
 
 SPLIT_CHARS = 20_000
 LONG_BLANKS = 4_096
@@ -75,7 +75,6 @@ def encode_text(enc: tiktoken.Encoding, text: str, limit: int = SPLIT_CHARS) ->
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids: the packed little-endian unsigned 32-bit ids of each whole text."""
-    arrow_rows(docs.sparkSession)
 
     def run(batches):
         enc = encoding(ranks_path, pattern)
@@ -84,12 +83,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     kept = id_and_text(docs)
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return kept.mapInArrow(bounded(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids, bytes: the raw bytes that the packed ids stand for."""
-    arrow_rows(encoded.sparkSession)
 
     def run(batches):
         enc = encoding(ranks_path, pattern)
@@ -98,7 +96,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], ["doc_id", "ids", "bytes"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(bounded(run), f"doc_id {kind}, ids binary, bytes binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -3,48 +3,29 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a folder of our own is made
-    and set as the checkpoint folder.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else ""
-    if not named:
-        named = tempfile.mkdtemp(prefix="helixframe-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+from ..sources.scratch import discard, shared_path
 
 
 def settle(rows: DataFrame, kind: str, files: int) -> DataFrame:
-    """Write rows to the shared folder as so many files at most, and read them back: lineage ends here.
+    """Write rows to the shared folder as so many files, and read them back: lineage ends here.
 
     Small intermediate results would otherwise be as many tiny files as the
-    session has shuffle partitions. ``files`` is to follow the input.
+    session has shuffle partitions. ``files`` is to follow the input. The rows
+    are made by all tasks there are and dealt out to the files afterwards.
     """
-    rows.coalesce(max(1, files)).write.parquet(path := shared_path(rows.sparkSession, kind))
+    rows.repartition(max(1, files)).write.mode("overwrite").parquet(path := shared_path(rows.sparkSession, kind))
     return rows.sparkSession.read.parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, so that long texts bound memory too."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def quoted(column: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever signs it holds."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def release() -> None:
@@ -56,11 +37,28 @@ def release() -> None:
         pass
 
 
-def released(run):
-    """A generator that releases memory when it ends."""
+#: Rows and bytes of the batches that operators work on at a time.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Spark's batches, of so many rows and (but for a longer single row) bytes at most."""
+    for batch in batches:
+        todo = [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and b.nbytes > size:
+                half = b.num_rows // 2
+                todo += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
+
+
+def bounded(run, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
+    """A function of batches that gets slices of them, and releases memory when it ends; no session setting is needed."""
 
     def wrapped(batches):
-        yield from run(batches)
+        yield from run(pieces(batches, rows, size))
         release()
 
     return wrapped
@@ -84,8 +82,8 @@ def partitions_of(spark: SparkSession, floor: int = 1) -> int:
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, total: int, how: str = "inner", parts: int = 64) -> DataFrame:
     """Join on ``keys``, unique on the right, with the left rows of hot keys dealt over ``parts`` tasks.
 
-    A key is hot with over a 200th of the left's ``total`` rows, so there are
-    fewer than 200 of them and broadcasting them is bounded.
+    ``total`` is the number of the left's rows. A key is hot with over a 200th
+    of them, so there are fewer than 200 and broadcasting them is bounded.
     """
     hot = F.broadcast(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(1_000, total // 200)).select(*keys, F.lit(True).alias("__hot")))
     deal = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")
@@ -93,3 +91,6 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, to
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     spread_right = right.join(hot, keys, "left").withColumn("__part", F.explode(copies)).drop("__hot")
     return dealt.join(spread_right, [*keys, "__part"], how).drop("__part")
+
+
+__all__ = ["bounded", "discard", "id_and_text", "join_hot", "partitions_of", "pieces", "quoted", "release", "settle", "shared_path", "text_of"]

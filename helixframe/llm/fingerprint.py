@@ -1,9 +1,11 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles, in SQL functions only.
 
 Every shingle hash below a fixed fraction of the hash range is retained, whatever
-the text's length, so sketches of parts merge by union and containment can be
+the text's length, so sketches of parts merge (``merge``) and containment can be
 estimated between very unequal documents. A text whose hashes all lie above the
-fraction retains its smallest one, so that short texts keep an identity.
+fraction retains its smallest one, so that short texts keep an identity; such a
+hash gives way when sketches merge, so the merged one is the sketch of both texts'
+shingles together.
 
 Words are runs of anything but blank, tab and line ends, lower-cased; a shingle
 is five of them, and a text of one to four words is a single one. Null and empty
@@ -13,7 +15,9 @@ texts have no shingles and an empty fingerprint. Two empty fingerprints are alik
 The next document in ascending doc_id is found with one shuffle of the texts:
 rows go to ranges of ids, and the first row of each range goes to the range
 before as well. Null ids come first, ties of ids are ordered by text, and the
-last document's next is the first one (itself, if it is alone).
+last document's next is the first one (itself, if it is alone). Repeated rows each
+give a row; an empty table gives no rows; very long texts are sketched whole;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,17 +42,20 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(hashed(w))), F.lit(0))
 
 
+def _retained(hashes: Column, scale: int) -> Column:
+    """The hashes in the lowest 1/``scale`` of the range, or else the smallest one."""
+    limit = F.lit(-(1 << 63) + (1 << 64) // scale)
+    return F.when((F.size(hashes) > 0) & ~F.exists(hashes, lambda h: h < limit), F.array(F.array_min(hashes))).otherwise(F.filter(hashes, lambda h: h < limit))
+
+
 def sketch(text: Column, scale: int = SCALE, k: int = SHINGLE) -> Column:
     """The sorted distinct hashes in the lowest 1/``scale`` of the range, or else the smallest one."""
-    limit = -(1 << 63) + (1 << 64) // scale
-    kept = lambda hs: F.filter(hs, lambda h: h < F.lit(limit))
-    some = lambda hs: F.when((F.size(hs) > 0) & ~F.exists(hs, lambda h: h < F.lit(limit)), F.array(F.array_min(hs))).otherwise(kept(hs))
-    return F.get(F.transform(F.array(shingle_hashes(text, k)), lambda hs: F.array_sort(F.array_distinct(some(hs)))), F.lit(0))
+    return F.get(F.transform(F.array(shingle_hashes(text, k)), lambda hs: F.array_sort(F.array_distinct(_retained(hs, scale)))), F.lit(0))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of the shingles that either of two sketches of one ``scale`` stands for."""
+    return F.get(F.transform(F.array(F.array_sort(F.array_union(a, b))), lambda hs: _retained(hs, scale)), F.lit(0))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -66,6 +73,11 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, F.hex), ",")
 
 
+def _constants(values: list, kind: str) -> Column:
+    """An array of numbers as one constant, which adds one expression to a plan however long it is."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def with_next(rows: DataFrame, order: str, tie: str, made: dict[str, Column]) -> DataFrame:
     """Each row with the columns ``made`` and ``next``, a struct of ``tie`` and of them of the row that follows in order, cyclically.
 
@@ -75,12 +87,12 @@ def with_next(rows: DataFrame, order: str, tie: str, made: dict[str, Column]) ->
     the shuffle partitions; that list is all that comes to the driver.
     """
     ranges = 4 * partitions_of(rows.sparkSession)
-    marks = F.percentile_approx(order, [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)
+    marks = F.percentile_approx(order, _constants([i / ranges for i in range(1, ranges)] or [0.5], "double"), 100 * ranges)
     got = rows.agg(F.min(order).alias("least"), F.count_if(F.col(order).isNull()).alias("nulls"), marks.alias("marks")).first()
     least = None if got["nulls"] else got["least"]
     bounds = sorted({b for b in got["marks"] or [] if b > got["least"] or got["nulls"]})
     # The range of an id is the number of bounds up to it, by binary search.
-    at, known = F.col(order), F.array(*map(F.lit, bounds)).cast("array<bigint>")
+    at, known = F.col(order), _constants(bounds, "bigint")
     powers = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     fits = lambda i: (i <= len(bounds)) & (F.get(known, i - 1) <= at)
     part = F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n)) if bounds else F.lit(0)

@@ -11,13 +11,17 @@ one letter at a time. Texts are folded to lower-case letters and single blanks
 and parsed whole, in blocks of ``BLOCK`` symbols that phrases don't cross.
 
 The sample's bounds are parameters: ``sample_chars`` per language, in excerpts of
-``EXCERPT`` characters, for at most ``max_languages`` labels (the most frequent).
-Rows whose crc32(doc_id) mod 4 is 2 and rows without a label are not learned from.
+``EXCERPT`` characters, and ``table_bytes`` for the transition table, which share
+out among all labels, so with many labels or large alphabets each has a shorter
+sample and none goes unlearned. Rows whose crc32(doc_id) mod 4 is 2, rows without
+a label and rows labelled ``und`` (undetermined) are not learned from.
 
 Null texts, and texts without letters, give ``und`` and score 0; equal entropies
 go to the label that sorts first; repeated rows each give a row; an empty table
-gives no rows, and with nothing to learn from all are ``und``. Other columns are
-ignored. The score is 1 - best/second, 1 when one language alone was learned.
+gives no rows, and with nothing to learn from all are ``und``. Very long texts
+are parsed whole. Other columns, whatever their names, are ignored or
+(``keep_identified``) kept. The score is 1 - best/second, 1 when one language
+alone was learned.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_text, release, released
+from .common import bounded, id_and_text, release
 
 BLOCK = 1024
 EXCERPT = 512
 HELD_OUT = 2
 #: Symbols: 0 a blank, 1 any letter outside the alphabet, then the alphabet (the letters of the sample, so many at most), last the padding.
 ALPHABET = 250
+UNKNOWN = "und"
 _GROUP = 1_000_000
 
 
@@ -45,34 +50,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_chars: int = 40_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
+def learn(docs: DataFrame, sample_chars: int = 40_000, table_bytes: int = 256 << 20) -> tuple[tuple[str, str], ...]:
     """The model: for each language, its label and the sampled text, both bounded.
 
     A first pass estimates each label's distinct texts, a second collects those
     whose hash falls below the fraction that gives the wanted number of excerpts.
+    What comes to the driver is bounded by the number of labels times the sample.
     """
-    per_language = max(1, sample_chars // EXCERPT)
     labelled = (
         docs.select(F.col("doc_id"), F.col("text"), F.col("lang"))
-        .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+        .filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
         .select("lang", "text", F.xxhash64("text").alias("h"))
     )
-    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy("lang").collect()
     if not counts:
         return ()
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3.0 * per_language / max(1, r["n"]))))])
-    unit = (F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))).alias("unit")
+    # An automaton has two states a character at most, and a table row of four bytes a symbol for each.
+    chars = max(EXCERPT, min(sample_chars, table_bytes // (len(counts) * 2 * 4 * (ALPHABET + 3))))
+    per_language = max(1, chars // EXCERPT)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * per_language / max(1, r["n"]))) for r in counts], "lang string, share double")
+    unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
-    rows = (
-        labelled.filter(F.element_at(share, F.col("lang")) > unit)
-        .select("lang", "h", F.substring("text", start, F.lit(EXCERPT)).alias("part"))
-        .distinct()
-        .collect()
-    )
+    # A row per label: no larger than the counts that the driver holds.
+    sampled = labelled.join(F.broadcast(shares), "lang").filter(F.col("share") > unit)
+    rows = sampled.select("lang", "h", F.substring("text", start, F.lit(EXCERPT)).alias("part")).distinct().collect()
+    found: dict[str, list] = {r["lang"]: [] for r in counts}
+    for r in rows:
+        found[r["lang"]].append((r["h"], r["part"]))
     model = []
-    for lang in sorted(r["lang"] for r in counts):
-        parts = [r["part"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["part"]))]
-        if text := " ".join(parts[: 2 * per_language])[:sample_chars]:
+    for lang in sorted(found):
+        if text := " ".join(part for _, part in sorted(found[lang])[: 2 * per_language])[:chars]:
             model.append((lang, text))
     return tuple(model)
 
@@ -171,7 +178,7 @@ class Parser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Labels, scores and cross entropies in bits a symbol."""
-        labels, scores, entropies = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        labels, scores, entropies = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.labels:
             return labels, scores, entropies
         pending: list[tuple[int, np.ndarray]] = []
@@ -213,7 +220,6 @@ def parser(model: tuple[tuple[str, str], ...]) -> Parser:
 
 def identify(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits (the cross entropy) of each whole text."""
-    arrow_rows(docs.sparkSession)
     kept = id_and_text(docs)
 
     def run(batches):
@@ -223,13 +229,12 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits"])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    out = kept.mapInArrow(released(run), f"doc_id {kind}, lang_pred string, score double, bits double")
+    out = kept.mapInArrow(bounded(run), f"doc_id {kind}, lang_pred string, score double, bits double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
 def keep_identified(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
     """The rows whose text has a language, unchanged but for a missing ``lang``, which is filled in."""
-    arrow_rows(docs.sparkSession)
     names, at, lang = docs.columns, docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches):
@@ -238,9 +243,9 @@ def keep_identified(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> Data
             columns = list(b.columns)
             if lang is not None:
                 columns[lang] = pa.array([x if x is not None else y for x, y in zip(columns[lang].to_pylist(), labels)], columns[lang].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != "und" for x in labels]))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != UNKNOWN for x in labels]))
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
 
 
 def learn_and_identify(docs: DataFrame, **bounds: int) -> DataFrame:

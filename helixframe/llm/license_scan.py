@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
-from .common import arrow_rows, id_and_text
+from .common import bounded, id_and_text
 from .license_templates import TEMPLATES
 
 K, WINDOW, BAND = 3, 4, 8
@@ -226,7 +226,6 @@ _SPANS_PA = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()),
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, spans of each whole text. The templates travel with the tasks; they are a parameter, not data."""
-    arrow_rows(docs.sparkSession)
     known = tuple((templates or TEMPLATES).items())
     kept = id_and_text(docs)
 
@@ -234,7 +233,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scan_batch(b.column(1), known, min_coverage), _SPANS_PA)], ["doc_id", "spans"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")
+    return kept.mapInArrow(bounded(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
-from .blocks import BLOCK_BYTES, KEYS, NULL_ID, TEXT_KEY, blocked, buckets_of, firsts, is_first, key_rows, pack, pair_keys, roster_of, split_keys, unpack
-from .common import arrow_rows, join_hot, release, released, settle, shared_path, text_of
+from .blocks import KEYS, NULL_ID, ROSTER, TEXT_KEY, blocked, buckets_of, firsts, is_first, key_rows, pack, pair_keys, roster_from, roster_of, rosters, split_keys, unpack
+from .common import bounded, join_hot, quoted, release, settle, shared_path
 from .components import components
 
 SHINGLE = 5
@@ -64,37 +64,28 @@ class Sets:
 
 def _send_shingles(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, wanted: pa.Table) -> pa.Table:
-        keep = roster_of(wanted)
-        values, counts = np.unique(Sets(table, keep).values, return_counts=True)
+        values, counts = np.unique(Sets(table, roster_of(wanted)).values, return_counts=True)
         order, lows, at = split_keys(values, buckets)
-        sent = key_rows(key[0].as_py(), lows, at, np.minimum(counts[order], 255).astype(np.uint8))
-        # What the block is to keep passes a bucket of its own.
-        own = pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([buckets + key[0].as_py()], pa.int32()), pa.array([keep.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], ["block", "bucket", "keys", "more"])
-        return pa.concat_tables([sent, own])
+        return key_rows(key[0].as_py(), lows, at, np.minimum(counts[order], 255).astype(np.uint8))
 
     return run
 
 
-def _frequencies(buckets: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """A class that grows with the document frequency, exact below 128, for each key sent."""
-        if key[0].as_py() >= buckets:
-            return table.select(["block", "bucket", "keys"])
-        keys, at = unpack(table["keys"], "<u4")
-        counts, _ = unpack(table["more"], "u1")
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        begin = np.flatnonzero(new)
-        total = np.add.reduceat(counts[order].astype(np.int64), begin)
-        rank = np.where(total < 128, total, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(total, 128) / 128)))).astype(np.uint8)
-        out = np.empty(len(keys), np.uint8)
-        out[order] = rank[np.cumsum(new) - 1]
-        release()
-        return pa.table([table["block"], table["bucket"], pack(out, at)], ["block", "bucket", "keys"])
-
-    return run
+def _frequencies(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A class that grows with the document frequency, exact below 128, for each key sent."""
+    keys, at = unpack(table["keys"], "<u4")
+    counts, _ = unpack(table["more"], "u1")
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    begin = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order].astype(np.int64), begin)
+    rank = np.where(total < 128, total, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(total, 128) / 128)))).astype(np.uint8)
+    out = np.empty(len(keys), np.uint8)
+    out[order] = rank[np.cumsum(new) - 1]
+    release()
+    return pa.table([table["block"], table["bucket"], pack(out, at)], ["block", "bucket", "keys"])
 
 
 _NODES = "doc_id bigint, h bigint, h2 int, n bigint, tokens array<bigint>, places array<int>, shingles binary"
@@ -103,9 +94,8 @@ _NODES = "doc_id bigint, h bigint, h2 int, n bigint, tokens array<bigint>, place
 def _order_sets(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("bucket")
-        own = np.array(answers["bucket"].to_numpy()) >= buckets
-        keep, _ = unpack(answers.filter(pa.array(own))["keys"], "<u8")
-        sets = Sets(table, keep)
+        own = answers["bucket"].to_numpy() == ROSTER
+        sets = Sets(table, roster_from(answers.filter(pa.array(own))["keys"]))
         values, inverse = np.unique(sets.values, return_inverse=True)
         order, _, _ = split_keys(values, buckets)
         rank = np.empty(len(values), np.uint8)
@@ -132,15 +122,15 @@ def _order_sets(buckets: int):
     return run
 
 
-def ordered_sets(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def ordered_sets(docs: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One row per distinct text with its set's size and shared prefix, written to the shared folder; and doc_id with its text's key."""
     placed, blocks = blocked(docs, block_bytes)
     buckets = buckets_of(blocks)
     texts = placed.groupBy("block")
     sent = texts.cogroup(firsts(placed, blocks).groupBy("block")).applyInArrow(_send_shingles(buckets), KEYS)
-    answers = sent.groupBy("bucket").applyInArrow(_frequencies(buckets), "block int, bucket int, keys binary")
+    answers = sent.groupBy("bucket").applyInArrow(_frequencies, "block int, bucket int, keys binary").union(rosters(placed, blocks))
     nodes = texts.cogroup(answers.groupBy("block")).applyInArrow(_order_sets(buckets), _NODES)
-    nodes.write.parquet(path := shared_path(docs.sparkSession, "sets"))
+    nodes.write.mode("overwrite").parquet(path := shared_path(docs.sparkSession, "sets"))
     return docs.sparkSession.read.parquet(path), placed.select("doc_id", *TEXT_KEY)
 
 
@@ -165,15 +155,38 @@ def _overlaps(batches):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs u, v whose whole sets reach the similarity."""
+    """The pairs u, v whose whole sets reach the similarity. Pairs are written first; a text that is in many of them is a hot key on either side."""
+    pairs = settle(pairs, "pairs", 1 + nodes.count() // _NODES_PER_FILE)
+    total = pairs.count()
     sets = nodes.filter("shingles is not null").select("doc_id", "shingles")
     x, y = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(released(_overlaps), "u bigint, v bigint")
+    both = join_hot(join_hot(pairs, x, ["u"], "v", total), y, ["v"], "u", total)
+    return both.select("u", "v", "x", "y").mapInArrow(bounded(_overlaps), "u bigint, v bigint")
+
+
+#: Groups of a token that meet all others of it in one task.
+_TOGETHER = 512
+
+
+def _across(entries: DataFrame, span: DataFrame) -> DataFrame:
+    """g1, g2 of the groups of different classes that share a token and may link.
+
+    The groups of a token that many hold are dealt over parts, each of which
+    meets a copy of all of them, so no task takes more than ``_TOGETHER`` of
+    them times the token's groups.
+    """
+    spanned = entries.join(span, "g").select("g", "n", "token", "place", "low", "high")
+    mixed = spanned.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("c")).filter("l < h")
+    opened = spanned.join(mixed.select("token", F.ceil(F.col("c") / _TOGETHER).cast("int").alias("parts")), "token")
+    a = opened.withColumn("part", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int")).alias("a")
+    b = opened.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    one_class = (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.g") < F.col("b.g")) & ~one_class & _can_link("a", "b")
+    return a.join(b, meet).select(F.col("a.g").alias("g1"), F.col("b.g").alias("g2")).distinct()
 
 
 def classes(nodes: DataFrame) -> DataFrame:
     """node, component of every distinct text that links to another."""
-    arrow_rows(nodes.sparkSession)
     files = 2 + nodes.count() // _NODES_PER_FILE
     shared = nodes.filter("size(tokens) > 0").select("doc_id", "n", "tokens", "places", F.xxhash64("tokens", "places").alias("prefix"))
     groups = shared.groupBy("n", "prefix").agg(F.min("doc_id").alias("g"))
@@ -183,64 +196,57 @@ def classes(nodes: DataFrame) -> DataFrame:
     entries = settle(entries, "entries", 4 * files)
 
     best = entries.groupBy("token").agg(F.min(F.struct("alone", "g", "n", "place")).alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", F.col("b.g").alias("g"), F.col("b.n").alias("n"), F.col("b.place").alias("place"))
-    first = entries.alias("a").join(best.alias("b"), "token").filter((F.col("a.g") != F.col("b.g")) & _can_link("a", "b")).select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct()
+    best = best.select("token", F.col("g").alias("bg"), F.struct("n", "place").alias("b"))
+    first = join_hot(entries.select("token", "g", F.struct("n", "place").alias("a")), best, ["token"], "g", entries.count()).filter((F.col("g") != F.col("bg")) & _can_link("a", "b")).select(F.col("g").alias("u"), F.col("bg").alias("v")).distinct()
     within = members.filter("doc_id != g").select(F.col("doc_id").alias("u"), F.col("g").alias("v"))
     found = components(settle(verified(first.union(within), nodes), "links", 4 * files), files)
 
     label = F.coalesce("component", "doc_id")
     labelled = settle(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "g", label.alias("c")), "labelled", files)
     span = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    spanned = entries.join(span, "g").select("g", "n", "token", "place", "low", "high")
-    mixed = spanned.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
-    open_entries = spanned.join(mixed, "token")
-    one_class = (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))
-    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & ~one_class & _can_link("a", "b")
-    across = open_entries.alias("a").join(open_entries.alias("b"), meet).select(F.col("a.g").alias("g1"), F.col("b.g").alias("g2")).distinct()
     same = span.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     left, right = labelled.select(F.col("g").alias("g1"), F.col("doc_id").alias("u"), F.col("c").alias("cu")), labelled.select(F.col("g").alias("g2"), F.col("doc_id").alias("v"), F.col("c").alias("cv"))
-    rest = across.union(same).join(left, "g1").join(right, "g2").filter("cu != cv and (g1 != g2 or u < v)").select("u", "v")
+    rest = _across(entries, span).union(same).join(left, "g1").join(right, "g2").filter("cu != cv and (g1 != g2 or u < v)").select("u", "v")
     more = verified(rest, nodes)
     labels = labelled.select("doc_id", "c")
     merged = more.join(labels.select(F.col("doc_id").alias("u"), F.col("c").alias("cu")), "u").join(labels.select(F.col("doc_id").alias("v"), F.col("c").alias("cv")), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    joined = components(settle(merged, "merged", 4 * files), files).select(F.col("node").alias("c"), "component")
+    joined = components(settle(merged, "merged", files), files).select(F.col("node").alias("c"), "component")
     return labels.join(joined, "c", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "c").alias("component"))
 
 
-def near_duplicate_classes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     nodes, keyed = ordered_sets(docs, block_bytes)
     found = classes(nodes).withColumnRenamed("node", "doc_id")
     info = nodes.select("doc_id", *TEXT_KEY, "n").join(found, "doc_id", "left").select(*TEXT_KEY, "n", F.coalesce("component", "doc_id").alias("c"), F.col("doc_id").alias("rep"))
     # Rows that share an id with other text are one document: texts of one key have one representative.
-    both = join_hot(keyed, info, TEXT_KEY, "doc_id", nodes.count())
+    both = join_hot(keyed, info, TEXT_KEY, "doc_id", docs.count())
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c"))
     return both.withColumn("component", component).select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"))
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
-    """The rows with ``__key``: the id, or for an id (null included) that rows of different texts share, one made of the text.
-
-    Made keys of a null id sort before all ids and those of others after all below 2**62; they are 62-bit hashes.
-    """
-    id_, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), F.xxhash64(text_of())
-    keyed = docs.withColumn("__id", id_)
-    shared = keyed.groupBy("__id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low != high").select("__id", F.lit(True).alias("__shared"))
-    if not shared.count():
-        return keyed.withColumnRenamed("__id", "__key")
-    rows = join_hot(keyed, shared, ["__id"], "text", docs.count(), "left")
-    made = text.bitwiseAND(F.lit((1 << 62) - 1))
-    made = F.when(F.col("__id") == NULL_ID, made + F.lit(NULL_ID + 1)).otherwise(made + F.lit(1 << 62))
-    return rows.withColumn("__key", F.when(F.col("__shared"), made).otherwise(F.col("__id"))).select(*docs.columns, "__key")
-
-
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each class of texts, that of its smallest id, unchanged.
 
-    Rows that repeat an id and its text are one document. Different texts under one id, null
-    included, are documents of their own; where such an id is not null, it counts as greater than all others.
+    Rows that repeat an id and its text are one document, and of them that of the smallest hash of all
+    columns stays. Different texts under one id, null included, are documents of their own: their keys
+    are 62-bit hashes of the text, which sort before all ids for a null id and after all below 2**62
+    for others, so such documents stay only where their class has none with an id of its own.
+    An empty table gives an empty one; columns may have any names.
     """
-    rows = _told_apart(docs)
-    found = near_duplicate_classes(rows.select(F.when(F.col("__key") != NULL_ID, F.col("__key")).alias("doc_id"), "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept")).distinct()
-    return rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    own = F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), text.alias("h"), own.alias("row"))
+    ids = rows.groupBy("id").agg((F.min("h") != F.max("h")).alias("shared"), (F.count(F.lit(1)) > 1).alias("repeated")).filter("repeated")
+    some = ids.agg(F.count_if("shared"), F.count(F.lit(1))).first()
+    if some[0]:
+        made = F.col("h").bitwiseAND(F.lit((1 << 62) - 1))
+        made = F.when(F.col("id") == NULL_ID, made + F.lit(NULL_ID + 1)).otherwise(made + F.lit(1 << 62))
+        rows = join_hot(rows, ids.filter("shared").select("id", "shared"), ["id"], "h", docs.count(), "left").withColumn("id", F.when(F.col("shared"), made).otherwise(F.col("id")))
+    found = near_duplicate_classes(rows.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), F.col("row.text").alias("text")))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")).distinct()
+    rows = rows.join(kept, "id", "left_semi")
+    if some[1]:
+        rows = rows.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

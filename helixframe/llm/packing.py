@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_text, release, released
+from .common import bounded, id_and_text, release
 from .word_tokens import tokens
 
 LENGTH = 2048
@@ -178,7 +178,6 @@ def _pack_shard(length: int):
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, separator: int = SEPARATOR, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset of every piece; ids are packed little-endian unsigned 32-bit."""
-    arrow_rows(docs.sparkSession, 512)
     kept = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     total = kept.agg(F.sum(F.length("text").cast("bigint") + 1)).first()[0] or 0
     shards = max(1, math.ceil(total / shard_chars))
@@ -193,7 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, separator:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary()), pa.array([narrow] * len(packed))], ["doc_id", "shard", "ids", "narrow"])
 
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    encoded = dealt.mapInArrow(released(run), "doc_id bigint, shard int, ids binary, narrow boolean")
+    encoded = dealt.mapInArrow(bounded(run), "doc_id bigint, shard int, ids binary, narrow boolean")
     return encoded.groupBy("shard").applyInArrow(_pack_shard(length), _PIECES)
 
 

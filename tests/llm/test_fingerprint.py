@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from helixframe.llm import fingerprint as P
@@ -33,6 +34,55 @@ def test_query(spark, table):
         assert same.setdefault(text, got[i].fingerprint) == got[i].fingerprint
 
 
+def brute_sketch(text):
+    """The fingerprint by a hash library of its own: Spark chains the words, each hash seeding the next."""
+    hashes = set()
+    for words in shingles(text):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        hashes.add(h - (1 << 64) if h >> 63 else h)
+    limit = -(1 << 63) + (1 << 64) // P.SCALE
+    return {h for h in hashes if h < limit} or ({min(hashes)} if hashes else set())
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_query_equals_brute_force(spark, table):
+    rows = sorted(table[1])
+    got = {r.doc_id: r for r in op3_fingerprint(spark, SF).collect()}
+    shown = lambda hashes: ",".join("%X" % (h & (1 << 64) - 1) for h in sorted(hashes))
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half, r = len(text) // 2, got[i]
+        own, edited, following = brute_sketch(text), brute_sketch(text[: len(text) - half] + after[:half]), brute_sketch(after)
+        assert r.fingerprint == shown(own) and r.edited_fingerprint == shown(edited)
+        assert (r.near_edited, r.near_next) == (alike(own, edited), alike(own, following))
+
+
+def test_a_merged_sketch_is_the_sketch_of_both(spark):
+    """Also where one or both texts retain a hash above the limit."""
+    texts = [" ".join(f"w{a}x{i}" for i in range(n)) for a in range(40) for n in (3, 5, 6, 30)] + [""]
+    rows = [(a, b) for a in texts[:24] for b in texts[-24:]]
+    df = spark.createDataFrame(rows, "a string, b string")
+    both = F.array_union(P.shingle_hashes(F.col("a")), P.shingle_hashes(F.col("b")))
+    want = F.array_sort(P._retained(both, P.SCALE))
+    got = df.select(P.merge(P.sketch(F.col("a")), P.sketch(F.col("b"))).alias("m"), want.alias("w"))
+    assert got.filter("m != w").count() == 0 and got.count() == len(rows)
+
+
+def test_plans_stay_small_with_many_partitions(spark, docs):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        plan = P.compare_edited(docs)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(plan) < 200_000
+
+
 def test_only_built_in_functions(spark):
     plan = op3_fingerprint(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|BatchEval|MapPartitions", plan)

@@ -86,7 +86,17 @@ def test_sample_is_bounded(spark):
     model = L.learn(docs, sample_chars=5_000)
     assert [m[0] for m in model] == ["a", "b"] and all(len(m[1]) <= 5_000 for m in model)
     assert L.learn(docs, sample_chars=5_000) == model
-    assert len(L.learn(docs, max_languages=1)) == 1
+    many = spark.range(2000).selectExpr("id * 4 as doc_id", "concat('text ', cast(id as string), repeat(' und so weiter', 90)) as text", "concat('l', cast(id % 100 as string)) as lang")
+    model = L.learn(many, table_bytes=1 << 20)
+    assert len(model) == 100 and all(0 < len(m[1]) <= L.EXCERPT for m in model)
+
+
+def test_rows_labelled_undetermined_are_not_lost(spark):
+    docs = spark.createDataFrame([(4 * i, "the words of a text " * 9, "und" if i % 2 else "en") for i in range(20)] + [(999, "12 34", "und")], "doc_id bigint, text string, lang string")
+    model = L.learn(docs)
+    assert [m[0] for m in model] == ["en"]
+    kept = L.keep_identified(docs, model)
+    assert kept.count() == 20 and kept.filter("lang = 'und'").count() == docs.filter("lang = 'und' and doc_id != 999").count()
 
 
 def test_score_needs_two_languages():

@@ -102,6 +102,27 @@ def test_different_texts_under_one_id_stay(spark):
     assert other[0] is None and other[1] in (" ".join(base), near)
 
 
+def test_awkward_names_and_repeated_rows(spark):
+    text = prose(90, 80)
+    rows = [(1, text, 1, 2, 3, 4), (1, text, 1, 2, 3, 5), (1, text, 1, 2, 3, 4), (2, prose(91, 60), 1, 2, 3, 4), (2, prose(91, 60), 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __kept int, `a.b` int, `c``d` int, id int")
+    kept = [J.keep_one_of_each(d) for d in (docs, docs.repartition(5))]
+    assert kept[0].columns == docs.columns
+    first, second = (sorted(map(tuple, k.collect())) for k in kept)
+    assert first == second and [r[0] for r in first] == [1, 2]
+
+
+def test_a_token_that_many_groups_share(spark, monkeypatch):
+    """Texts that share their rarest shingles but little else, dealt over parts."""
+    monkeypatch.setattr(J, "_TOGETHER", 3)
+    rows, common = [], prose(60, 30).split()
+    for i in range(40):
+        own = prose(700 + i // 2, 12 + i % 2).split()
+        rows.append((i, " ".join(common + own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert rows_of(J.near_duplicate_classes(docs, 2_000)) == brute(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 300), (160, 159)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

@@ -79,6 +79,62 @@ def test_further_structures_and_forms():
         assert ("pem", 0, len(pem)) in S.scan(pem)
 
 
+def wrapped_key(oid, inner):
+    return der(0x30, INT + der(0x30, der(6, oid)) + der(4, inner))
+
+
+RSA_OID, EC_OID, ED_OID = (bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570"))
+
+
+def test_keys_within_keys_are_parsed():
+    for oid, inner in ((RSA_OID, PKCS1), (EC_OID, SEC1), (ED_OID, der(4, b"k" * 32)), (b"\x2a\x86\x48", PKCS1)):
+        assert S.is_der_key(wrapped_key(oid, inner))
+    for oid, inner in ((RSA_OID, b"\x01" * 300), (RSA_OID, SEC1), (EC_OID, PKCS1), (RSA_OID, PKCS1[:-1]), (RSA_OID, PKCS1 + b"x"), (ED_OID, b"k" * 32), (EC_OID, der(0x30, der(2, b"\x01") + der(4, b"k" * 32) + der(0xA1, b"\x03\x20")))):
+        assert not S.is_der_key(wrapped_key(oid, inner))
+
+
+def test_short_tokens_and_hexed_keys():
+    short = "eyJhbGciOiIifQ.e30."
+    assert S.scan(short) == [("jwt", 0, len(short))]
+    assert S.scan(f"a {short} b") == [("jwt", 2, 2 + len(short))]
+    assert ("openssh", 0, 2 * len(OPENSSH)) in S.scan(OPENSSH.hex()) and ("openssh", 0, 2 * len(OPENSSH)) in S.scan(OPENSSH.hex().upper())
+
+
+def every_token(text):
+    """Signed tokens by trying every start and both dots, without the scanner's patterns."""
+    signs, out, at = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), [], 0
+    run = lambda i: next((j for j in range(i, len(text)) if text[j] not in signs), len(text))
+
+    def parsed(part):
+        try:
+            return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+        except ValueError:
+            return None
+
+    while at < len(text):
+        a = run(at)
+        if a - at >= 10 and text[a : a + 1] == ".":
+            b = run(a + 1)
+            if b - a > 2 and text[b : b + 1] == ".":
+                head, body, end = parsed(text[at:a]), parsed(text[a + 1 : b]), run(b + 1)
+                if isinstance(head, dict) and "alg" in head and isinstance(body, dict):
+                    out.append(("jwt", at, end))
+                at = end
+                continue
+        at = max(a, at + 1)
+    return out
+
+
+def test_tokens_equal_brute_force():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        made = [url({rng.choice(["alg", "algo"]): "x" * rng.randrange(4)}) + "." + url(rng.choice([{}, {"a": 1}, 3])) + "." + "s" * rng.randrange(5) for _ in range(rng.randrange(1, 4))]
+        text = " ".join(x if rng.random() < 0.8 else x.replace(".", ",", 1) for x in made)
+        assert [x for x in S.scan(text) if x[0] == "jwt"] == every_token(text), text
+
+
 def test_overlaps_and_failing_matches():
     text = "token=ab token: 'secret=abcdefgh' PASSWD = x.y_z-1 toKen=abcdefgh AKIA" + "A" * 15 + " AKIA" + "B" * 16 + " " + "f" * 23 + "g" + "0" * 24
     assert S.scan(text) == [(k.split(":")[0], *map(int, k.split(":")[1:])) for _, _, k in base_spans(text)]

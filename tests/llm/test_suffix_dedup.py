@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helixframe.llm import byte_hash
 from helixframe.llm import suffix_dedup as D
@@ -12,22 +13,22 @@ from helixframe.llm.queries import op6_suffix_dedup
 from .conftest import SF
 
 
-def brute(rows):
+def brute(rows, size=50):
     """(id, bytes removed, spans, kept) by a dictionary of every 50-byte string's smallest id."""
     low = lambda i: -1 if i is None else i
     least = {}
     for i, t in rows:
         b = (t or "").encode()
-        for p in range(len(b) - 49):
-            k = b[p : p + 50]
+        for p in range(len(b) - size + 1):
+            k = b[p : p + size]
             least[k] = min(least.get(k, low(i)), low(i))
     out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 49):
-            if least[b[p : p + 50]] < low(i):
-                gone[p : p + 50] = True
+        for p in range(len(b) - size + 1):
+            if least[b[p : p + size]] < low(i):
+                gone[p : p + size] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
     return out
@@ -71,3 +72,17 @@ def test_hashes_do_not_depend_on_the_place(parts, k):
     for p, h in enumerate(hashes.tolist()):
         assert seen.setdefault(bytes(data[p : p + k]), h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("threshold", [2, 9, 31, 64, 200])
+def test_other_thresholds(docs, rows, threshold):
+    short = [(r[0], (r[1] or "")[:4000]) for r in rows]
+    cut = docs.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 4000))
+    assert rows_of(D.digest(D.remove_repeats(cut, 9_000, threshold))) == sorted(brute(short, threshold), key=str)
+
+
+def test_awkward_names(spark):
+    rows = [(1, "a" * 80, 1, 2, 3, 4), (2, "b" + "a" * 79, 1, 2, 3, 4), (3, None, 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __null int, `a.b` int, `c``d` int, row int")
+    got = D.without_repeats(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a" * 80), (2, "b"), (3, None)]

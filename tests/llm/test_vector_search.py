@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from helixframe.llm import vector_search as V
 from helixframe.llm.queries import op9_vector_search
@@ -57,18 +58,67 @@ def test_awkward_vectors(spark):
 def test_estimates_lie_within_the_bound():
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=64)
-    codes, norms, fits = V.encode(x)
-    assert codes.shape == (2000, 8)
-    signs = (np.unpackbits(codes, axis=1) * 2.0 - 1) / 8
-    guess = (V.rotation(64) @ q) @ signs.T * norms / fits
-    error = norms * np.linalg.norm(q) * np.sqrt(1 - fits**2) / fits / math.sqrt(63)
-    inside = np.abs(guess - x @ q) <= V.BOUND * error
-    assert inside.mean() > 0.99 and abs((guess - x @ q).mean()) < 0.5
+    codes, tops, norms, fits = V.encode(x)
+    assert codes.shape == (2000, 8) and np.allclose(tops * norms, np.linalg.norm(x, axis=1))
+    known = V.Codes(64, np.arange(2000), codes, tops, norms, fits)
+    ((_, guess, top, length),) = known.estimates(q[None, :])
+    assert math.isclose(top * length, np.linalg.norm(q))
+    off = np.abs(guess * tops * top - x @ q)
+    assert (off <= V.BOUND * known.error * length * tops * top).mean() > 0.99 and abs((guess * tops * top - x @ q).mean()) < 0.5
     assert np.allclose(V.rotation(64) @ V.rotation(64).T, np.eye(64))
 
 
+def ranked(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: [(i, s) for _, i, s in sorted(near)] for q, near in got.items()}
+
+
+def in_order(rows, step, k):
+    """As ``brute``, with sums in component order."""
+    known, out = {i: v for i, v in rows if v is not None}, {}
+    for q, a in known.items():
+        if q % step == 0:
+            near = []
+            for i, b in known.items():
+                if i != q:
+                    total = 0.0
+                    for x, y in zip(b, a):
+                        total += x * y
+                    near.append((-total, i))
+            out[q] = [(i, -s) for s, i in sorted(near)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("size", [1e20, 1e-170, 1e150, 1.0])
+def test_extreme_magnitudes(spark, size):
+    """Any finite vector but zero takes part; products that leave a double's range are zero or infinite for all, and ties go to the smaller id."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=16) * size).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert ranked(V.nearest(df, lambda i: i % 20 == 0)) == in_order(rows, 20, 20)
+
+
+def test_mixed_magnitudes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=16) * 10.0 ** (i % 60 - 30)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert ranked(V.nearest(df, lambda i: i % 20 == 0)) == in_order(rows, 20, 20)
+
+
+def test_the_exact_way_scores_every_candidate(spark, monkeypatch):
+    monkeypatch.setattr(V, "VECTOR_BYTES", 64 * 50 * 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert ranked(V.nearest(df, lambda i: i % 20 == 0, bound=None)) == in_order(rows, 20, 20)
+    assert V.nearest(df, lambda i: i < 0, bound=None).count() == V.nearest(df, lambda i: i < 0).count() == 0
+
+
 def test_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(V, "VECTOR_BYTES", 100 * 16 * 8)
+    monkeypatch.setattr(V, "VECTOR_BYTES", 100 * 16 * 4)
+    monkeypatch.setattr(V, "CODE_BYTES", 100 * (16 // 8 + 32))
     monkeypatch.setattr(V, "QUERY_BYTES", 10 * 16 * 8)
     rng = np.random.default_rng(2)
     rows = [(i, np.float32(rng.normal(size=16)).tolist()) for i in range(400)]

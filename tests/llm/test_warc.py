@@ -1,5 +1,7 @@
 import base64
+import glob
 import hashlib
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -60,16 +62,53 @@ def test_hot_payload(spark):
     assert got.filter("record_type = 'revisit'").count() == 1666 and got.filter("refers_to != 0").count() == 0
 
 
-def test_damage_is_noticed(spark, tmp_path):
-    path = shared_path(spark, "warc-test")
-    A.write_archives(A.resolve(pages(spark, PAGES[:1])), path)
-    import glob
+def archives(path):
+    return sorted(glob.glob(f"{path.removeprefix('file:')}/archives/*"))
+
 
-    file = glob.glob(f"{path.removeprefix('file:')}/part-*")[0]
-    data = open(file, "rb").read()
-    fields, _, payload = next(iter(A.parse_records(data)))
+def test_damage_is_noticed(spark):
+    path = shared_path(spark, "warc-test")
+    A.write_archives(A.resolve(pages(spark, PAGES[:1])), path, compressed=False)
+    data = open(archives(path)[0], "rb").read()
+    fields, _, payload = next(A.parse_records([data]))
     assert payload == b"<p>x</p>" and fields["WARC-Type"] == "response" and fields["WARC-Record-ID"] == "<urn:page:5>"
     with pytest.raises(ValueError, match="differ"):
-        A._record(*next(iter(A.parse_records(data.replace(b"<p>x", b"<p>y")))))
-    with pytest.raises(ValueError):
-        list(A.parse_records(data[:-6]))
+        A._record(*next(A.parse_records([data.replace(b"<p>x", b"<p>y")])))
+    for cut in (6, 60, len(data) - 5):
+        with pytest.raises(ValueError):
+            list(A.parse_records([data[:-cut]]))
+    assert list(A.parse_records(data[i : i + 7] for i in range(0, len(data), 7))) == list(A.parse_records([data]))
+
+
+@pytest.mark.parametrize("least", [0, 9])
+def test_many_shared_digests_join_by_headers(spark, least):
+    got = A.resolve(pages(spark), least, lookup_bytes=0)
+    assert rows_of(got) == brute([(i, h) for i, _, h in PAGES], least)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # The exchanges of payloads are by page_id; those by digest carry none.
+    for line in plan.splitlines():
+        if "hashpartitioning(payload_digest" in line or "hashpartitioning(d#" in line:
+            assert "html" not in line
+
+
+def test_payloads_are_not_shuffled(spark):
+    plan = A.resolve(pages(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_files_and_members(spark):
+    """Files are bounded by bytes, a member holds a record, and files that no task vouches for are not read."""
+    path = shared_path(spark, "warc-files")
+    rows = spark.range(300).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 400) as html").coalesce(1)
+    A.write_archives(A.resolve(rows), path, file_bytes=3_000)
+    files = archives(path)
+    assert len(files) > 5
+    data, members = open(files[0], "rb").read(), 0
+    while data:
+        inflater = zlib.decompressobj(31)
+        assert len(list(A.parse_records([inflater.decompress(data)]))) == 1
+        data, members = inflater.unused_data, members + 1
+    assert members > 1
+    with open(f"{path.removeprefix('file:')}/archives/left-over.warc.gz", "wb") as f:
+        f.write(open(files[0], "rb").read())
+    assert A.read_archives(spark, path).count() == 300
