@@ -54,25 +54,26 @@ def learn(docs: DataFrame, sample_chars: int = 40_000, table_bytes: int = 256 <<
     """The model: for each language, its label and the sampled text, both bounded.
 
     A first pass estimates each label's distinct texts, a second collects those
-    whose hash falls below the fraction that gives the wanted number of excerpts.
-    What comes to the driver is bounded by the number of labels times the sample.
+    whose hash falls below the fraction that gives the wanted number of excerpts,
+    and the one of the smallest hash, so that no label is left without. What comes
+    to the driver is bounded by the number of labels times the sample.
     """
     labelled = (
         docs.select(F.col("doc_id"), F.col("text"), F.col("lang"))
         .filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
         .select("lang", "text", F.xxhash64("text").alias("h"))
     )
-    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy("lang").collect()
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).orderBy("lang").collect()
     if not counts:
         return ()
     # An automaton has two states a character at most, and a table row of four bytes a symbol for each.
     chars = max(EXCERPT, min(sample_chars, table_bytes // (len(counts) * 2 * 4 * (ALPHABET + 3))))
     per_language = max(1, chars // EXCERPT)
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * per_language / max(1, r["n"]))) for r in counts], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * per_language / max(1, r["n"])), r["least"]) for r in counts], "lang string, share double, least bigint")
     unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
     # A row per label: no larger than the counts that the driver holds.
-    sampled = labelled.join(F.broadcast(shares), "lang").filter(F.col("share") > unit)
+    sampled = labelled.join(F.broadcast(shares), "lang").filter((F.col("share") > unit) | (F.col("h") == F.col("least")))
     rows = sampled.select("lang", "h", F.substring("text", start, F.lit(EXCERPT)).alias("part")).distinct().collect()
     found: dict[str, list] = {r["lang"]: [] for r in counts}
     for r in rows:

@@ -4,8 +4,9 @@ The tokenizer file decides every id; this module only avoids running it on the
 same word again. Texts of ASCII and Latin-1 letters are cut into the pattern's
 words with NumPy over their bytes (letters, single digits, runs of other signs,
 and the contractions), distinct words are looked up by hash, and unknown ones go
-through the tokenizer. For any other text, and for other tokenizer files, the
-tokenizer itself runs on the whole text.
+through the tokenizer. For any other text, for texts that may hold one of the
+tokenizer's special tokens, and for other tokenizer files, the tokenizer itself
+runs on the whole text.
 """
 
 from __future__ import annotations
@@ -50,7 +51,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -58,6 +58,8 @@ class Tokens:
         splits = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         end = said["model"].get("end_of_word_suffix")
         self.fast = [x["type"] for x in steps] == NORMALIZERS and splits[0].get("pattern", {}).get("Regex") == PATTERN and bool(end)
+        # Texts that hold a special token's first signs, in either case, are the tokenizer's own to cut.
+        self.marks = sorted({t["content"].lower().encode()[:2] for t in said.get("added_tokens", [])})
         self.ends_word = np.zeros(self.size, bool)
         if self.fast:
             self.ends_word[[i for word, i in said["model"]["vocab"].items() if word.endswith(end)]] = True
@@ -95,6 +97,7 @@ class Tokens:
             second = data[after]
             kind[after] = np.where((second == 0x97) | (second == 0xB7), _ODD, _LETTER)
             odd = kind == _ODD
+            self._mark(data, at, odd)
         slow = np.diff(np.concatenate([[0], np.cumsum(odd)])[at]) > 0 if self.fast else np.ones(len(at) - 1, bool)
         ids, counts = self._fast(data, at, kind, slow) if self.fast and len(data) else (np.empty(0, np.uint32), np.zeros(len(at) - 1, np.int64))
         if slow.any():
@@ -106,6 +109,16 @@ class Tokens:
             ids = np.concatenate(parts)
         return ids, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
+    def _mark(self, data: np.ndarray, at: np.ndarray, odd: np.ndarray) -> None:
+        """Flag places where a special token may begin."""
+        raw = data.tobytes().lower() if self.marks else b""
+        for mark in self.marks:
+            found = raw.find(mark)
+            while found >= 0:
+                odd[found] = True
+                # The rest of this text needs no look.
+                found = raw.find(mark, int(at[np.searchsorted(at, found, side="right")]))
+
     def _fast(self, data: np.ndarray, at: np.ndarray, kind: np.ndarray, slow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = data.copy()
         data[(data >= 65) & (data <= 90)] += 32
