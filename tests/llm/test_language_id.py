@@ -60,6 +60,25 @@ def test_query_predicts_held_out_documents(spark, table):
     assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.95 * len(held)
 
 
+def test_query_equals_brute_force(spark, table):
+    """Labels and entropies of the whole query, by substring search, for all texts up to 1,200 letters."""
+    docs, rows = table
+    model = L.learn(docs)
+    p = L.Parser(model)
+    letters = lambda s: "".join(chr(65 + x) for x in p.symbols(s))
+    samples = [letters(text) for _, text in model]
+    got, seen = {r.doc_id: r for r in op1_language_id(spark, SF).collect()}, 0
+    for i, text in rows:
+        s = letters(text or "")
+        if not 0 < len(s) <= 1200 or not set(s) - {"A"}:
+            continue
+        h = [phrases(s, x) * np.log2(len(x)) / len(s) for x in samples]
+        best = int(np.argmin(h))
+        assert got[i].lang_pred == model[best][0] and abs(got[i].bits - h[best]) < 1e-9
+        seen += 1
+    assert seen > 20
+
+
 def test_awkward_rows(spark, docs, no_docs, rows):
     model = L.learn(docs)
     assert [m[0] for m in model] == ["en"]

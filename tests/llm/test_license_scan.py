@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from helixframe.llm import license_scan as C
 from helixframe.llm.license_templates import TEMPLATES
@@ -10,7 +11,7 @@ from helixframe.llm.queries import op5_license_scan
 from .conftest import SF, prose
 
 KNOWN = tuple(TEMPLATES.items())
-LINES = {TEMPLATES[k]: k for k in ("GPL-3.0-line", "Apache-2.0-line", "CC-BY-NC-4.0-line", "all-rights-reserved")}
+LINES = {TEMPLATES[k]: k for k in ("MIT-line", "GPL-3.0-line", "Apache-2.0-line", "CC-BY-NC-4.0-line", "all-rights-reserved")}
 
 
 def scan(*texts):
@@ -110,3 +111,40 @@ def test_awkward_rows(docs, no_docs, rows):
     assert len(got) == len(rows) and sum(r.n_licenses for r in got) == 0
     assert C.scan_licenses(no_docs).count() == 0
     assert scan(None, "", "rights", "All  rights\nRESERVED")[3][0]["coverage"] == 1.0
+
+
+def every_alignment(template, text):
+    """The best local alignment's score over the whole table, without a band."""
+    score, top = [[0] * (len(text) + 1) for _ in range(len(template) + 1)], 0
+    for i, w in enumerate(template, 1):
+        for j, x in enumerate(text, 1):
+            score[i][j] = max(0, score[i - 1][j - 1] + (2 if w == x else -1), score[i - 1][j] - 1, score[i][j - 1] - 1)
+            top = max(top, score[i][j])
+    return top
+
+
+def test_alignment_equals_the_whole_table():
+    """A band over all diagonals gives a best alignment: its matches, gaps and mismatches sum to the best score."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, int(rng.integers(1, 14))), rng.integers(0, 4, int(rng.integers(1, 18)))
+        want = every_alignment(a.tolist(), b.tolist())
+        m, x, y, p, q = C.align_both(a, b, -len(a), len(b))
+        assert (want == 0) == (m == 0)
+        if m:
+            # The span it names holds an alignment of that score, and no better one is anywhere.
+            assert every_alignment(a[p:q].tolist(), b[x:y].tolist()) == want and m <= min(q - p, y - x)
+
+
+@pytest.mark.parametrize("line", ["All rights reserved.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License."])
+@pytest.mark.parametrize("times", [1, 2, 7, 10])
+def test_every_repeat_of_a_short_notice_counts(line, times):
+    (found,) = C.scan_batch(pa.array([" ".join([line] * times)]), tuple(C.TEMPLATES.items()))
+    assert [(s["start"], s["end"]) for s in found] == [(k * (len(line) + 1), k * (len(line) + 1) + len(line) - line.endswith(".")) for k in range(times)]
+
+
+def test_whole_licenses_are_covered():
+    """A BSD text of four parts is named part by part, without a gap of a sentence."""
+    text = " ".join(C.TEMPLATES[k] for k in ("BSD", "BSD-3-Clause-endorsement", "BSD-disclaimer"))
+    (found,) = C.scan_batch(pa.array([text]), tuple(C.TEMPLATES.items()))
+    assert [s["license"] for s in found] == ["BSD", "BSD-3-Clause-endorsement", "BSD-disclaimer"] and all(s["coverage"] == 1.0 for s in found)
