@@ -9,6 +9,12 @@ Each stage takes (spark, docs, sf_dir) and all but the last return the columns o
   50-byte string, and keeps the rows;
 * secret_scan masks secrets;
 * packing gives the pieces of sequences.
+
+Null texts go with the first stage, as no language can be told of them; a stage by
+itself keeps them. Rows with a null or repeated id count by their text (see
+``ngram_join.keep_one_of_each``). Ties go to the smaller id, repeated rows are near
+duplicates of each other, long texts are worked on whole, other columns pass
+unchanged whatever their names, and an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import language_id, ngram_join, packing, secret_scan, suffix_dedup
-from helixframe.llm.common import shared_path
+from helixframe.llm.common import discard, shared_path
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again, which cuts lineage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder and read again, which cuts lineage.
+
+    What a stage was made from is deleted once its own result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(path := shared_path(spark, name))
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path := shared_path(spark, name))
         docs = spark.read.parquet(path)
+        discard(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
