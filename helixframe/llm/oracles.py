@@ -41,4 +41,12 @@ r(doc_id, to_id) as (select doc_id, doc_id from n union select r.doc_id, l.v fro
 select n.doc_id, any_value(n.n) as n_shingles, min(to_id) as component_id from r join n using (doc_id) group by n.doc_id
 """
 
-ORACLE_SQL = {"op6_suffix_dedup": OP6_SUFFIX_DEDUP, "op7_warc": OP7_WARC, "op10_ngram_join": OP10_NGRAM_JOIN}
+OP9_VECTOR_SEARCH = """
+with v as (select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(c.e, q.e) as score from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 20 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+ORACLE_SQL = {"op6_suffix_dedup": OP6_SUFFIX_DEDUP, "op7_warc": OP7_WARC, "op9_vector_search": OP9_VECTOR_SEARCH, "op10_ngram_join": OP10_NGRAM_JOIN}

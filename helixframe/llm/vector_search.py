@@ -14,7 +14,8 @@ nothing is fitted, and every vector is coded.
 3. Codes meet queries again, and every candidate whose estimate plus ``bound``
    standard errors attains the reach is scored on its original vector.
 
-Only a query's vector and its candidates' ids travel to a block of vectors. The
+Only a query's vector and its candidates' places travel to a block of vectors, as a
+list or a bit each, whichever is shorter. The
 bound is probabilistic; ``bound=None`` is the exact way, which scores every
 candidate. Scores are double-precision sums of products in component order. Codes
 are made from vectors divided by their largest component, so any finite magnitude
@@ -46,7 +47,7 @@ K, BOUND, SEED = 20, 3.0, 20240517
 #: Bytes of a block of vectors, and of the codes and the queries that meet in a task.
 VECTOR_BYTES, CODE_BYTES, QUERY_BYTES = 16 << 20, 16 << 20, 8 << 20
 #: Queries at a time, and candidates of the best estimates that set a query's reach.
-_AT_ONCE, _FIRST = 32, 64
+_AT_ONCE, _FIRST = 32, 256
 #: Bytes of a vector's scalars and id beside its code.
 _SCALARS = 32
 
@@ -111,11 +112,38 @@ def within_reach(codes: Codes, queries: np.ndarray, query_ids: np.ndarray, reach
             yield i, np.flatnonzero(keep & (codes.ids != query_ids[i]))
 
 
+def pack_places(places: np.ndarray, count: int) -> tuple[bool, bytes]:
+    """Ascending places below ``count``, as a bit for each or a list."""
+    if len(places) * 4 <= count // 8:
+        return False, places.astype("<u4").tobytes()
+    bits = np.zeros(count, bool)
+    bits[places] = True
+    return True, np.packbits(bits).tobytes()
+
+
+def unpack_places(dense: bool, data: pa.Buffer, count: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, "u1"), count=count)) if dense else np.frombuffer(data, "<u4").astype(np.int64)
+
+
+def top_products(vectors: np.ndarray, ids: np.ndarray, lengths: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the ``k`` nearest; only those near the k-th are summed in component order."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = vectors @ query
+        if len(rough) > k:
+            slack = 2.0**-50 * len(query) * lengths.max() * math.sqrt(float(query @ query))
+            keep = np.flatnonzero(~(rough < np.partition(rough, -k)[-k] - 2 * slack))
+        else:
+            keep = np.arange(len(rough))
+    score = products(vectors[keep], query)
+    top = np.lexsort((ids[keep], -score))[:k]
+    return keep[top], score[top]
+
+
 def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products, summed in component order."""
     out = np.zeros(len(vectors))
     with np.errstate(over="ignore", invalid="ignore"):
-        for column, q in zip(vectors.T, query):
+        for column, q in zip(np.ascontiguousarray(vectors.T), query):
             out += column * q
     return out
 
@@ -133,7 +161,7 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 _BLOCK = "dim int, block int, part int, ids binary, vectors binary, codes binary, tops binary, norms binary, fits binary"
 _QUERIES = "dim int, q_block int, q_ids binary, q_vectors binary, reach binary"
-_ASKED = "dim int, block int, query_id bigint, q binary, ids binary"
+_ASKED = "dim int, block int, query_id bigint, q binary, dense boolean, places binary"
 _SCORES = "query_id bigint, vec_id bigint, score double"
 
 
@@ -168,20 +196,20 @@ def _ask(first: int | None, bound: float | None):
                 ids, block = raw(left, "ids", b, "<i8"), left["block"][b].as_py()
                 codes = Codes(dim, ids, raw(left, "codes", b, "u1").reshape(len(ids), -1), raw(left, "tops", b), raw(left, "norms", b), raw(left, "fits", b))
                 if first is None:
-                    rows += [(dim, block, int(q_ids[i]), queries[i].tobytes(), ids[c].tobytes()) for i, c in within_reach(codes, queries, q_ids, reach, bound) if len(c)]
+                    rows += [(dim, block, int(q_ids[i]), queries[i].tobytes(), *pack_places(c, len(ids))) for i, c in within_reach(codes, queries, q_ids, reach, bound) if len(c)]
                 else:
                     for i, c, guess in best(codes, queries, q_ids, first):
-                        tops[i] += zip((-guess[c]).tolist(), ids[c].tolist(), [block] * len(c))
+                        tops[i] += zip((-guess[c]).tolist(), c.tolist(), [block] * len(c))
                         if len(tops[i]) > 4 * first:
                             tops[i] = sorted(tops[i])[:first]
             for i, found in enumerate(tops):
                 by_block: dict[int, list[int]] = {}
-                for _, vec, block in sorted(found)[:first]:
-                    by_block.setdefault(block, []).append(vec)
-                rows += [(dim, block, int(q_ids[i]), queries[i].tobytes(), np.array(vecs, "<i8").tobytes()) for block, vecs in by_block.items()]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["dim", "block", "query_id", "q", "ids"])
+                for _, place, block in sorted(found)[:first]:
+                    by_block.setdefault(block, []).append(place)
+                rows += [(dim, block, int(q_ids[i]), queries[i].tobytes(), False, np.array(sorted(places), "<u4").tobytes()) for block, places in by_block.items()]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["dim", "block", "query_id", "q", "dense", "places"])
 
     return run
 
@@ -193,12 +221,12 @@ def _score(kind: str, k: int):
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if asked.num_rows and block.num_rows:
             ids = np.frombuffer(block["ids"][0].as_buffer(), "<i8")
-            vectors = np.frombuffer(block["vectors"][0].as_buffer(), kind).reshape(len(ids), -1)
-            for query_id, q, wanted in zip(asked["query_id"].to_pylist(), asked["q"], asked["ids"]):
-                place = np.searchsorted(ids, np.frombuffer(wanted.as_buffer(), "<i8"))
-                score = products(vectors[place].astype(np.float64), np.frombuffer(q.as_buffer(), "<f8"))
-                top = np.lexsort((ids[place], -score))[:k]
-                for column, value in zip(out, (np.full(len(top), query_id), ids[place][top], score[top])):
+            vectors = np.frombuffer(block["vectors"][0].as_buffer(), kind).reshape(len(ids), -1).astype(np.float64)
+            lengths = np.multiply(*(np.frombuffer(block[c][0].as_buffer(), "<f8") for c in ("tops", "norms")))
+            for query_id, q, dense, wanted in zip(asked["query_id"].to_pylist(), asked["q"], asked["dense"].to_pylist(), asked["places"]):
+                place = unpack_places(dense, wanted.as_buffer(), len(ids))
+                top, score = top_products(vectors[place], ids[place], lengths[place], np.frombuffer(q.as_buffer(), "<f8"), k)
+                for column, value in zip(out, (np.full(len(top), query_id), ids[place][top], score)):
                     column.append(value)
         return pa.table([np.concatenate(c) for c in out], ["query_id", "vec_id", "score"])
 
@@ -235,7 +263,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, bound: float | None = BOUN
         return codes.cogroup(met.groupBy("dim", "part", "q_block")).applyInArrow(_ask(first, bound), _ASKED)
 
     def score(wanted: DataFrame) -> DataFrame:
-        held = packed.select("dim", "block", "ids", "vectors").repartition(blocks, "dim", "block").groupBy("dim", "block")
+        held = packed.select("dim", "block", "ids", "vectors", "tops", "norms").repartition(blocks, "dim", "block").groupBy("dim", "block")
         return wanted.repartition(blocks, "dim", "block").groupBy("dim", "block").cogroup(held).applyInArrow(_score(kind, k), _SCORES)
 
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
