@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,33 @@ def bounded(run, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
     return wrapped
 
 
+_held: dict[str, tuple[object, object]] = {}
+
+
+def only_one(kind: str, key: object, build):
+    """What ``build`` makes of ``key``, kept by a Python worker until it needs another such object.
+
+    Workers outlive the stages of a pipeline, so the models of all would add up.
+    """
+    if kind not in _held or _held[kind][0] != key:
+        _held.clear()
+        release()
+        _held[kind] = key, build(key)
+    return _held[kind][1]
+
+
+@contextmanager
+def smaller_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Fewer rows in the batches of what runs within; the session's setting is put back at the end."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -93,4 +121,4 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, to
     return dealt.join(spread_right, [*keys, "__part"], how).drop("__part")
 
 
-__all__ = ["bounded", "discard", "id_and_text", "join_hot", "partitions_of", "pieces", "quoted", "release", "settle", "shared_path", "text_of"]
+__all__ = ["bounded", "discard", "id_and_text", "join_hot", "only_one", "partitions_of", "pieces", "quoted", "release", "settle", "shared_path", "smaller_batches", "text_of"]

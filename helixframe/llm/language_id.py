@@ -27,14 +27,13 @@ alone was learned.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_and_text, release
+from .common import bounded, id_and_text, only_one
 
 BLOCK = 1024
 EXCERPT = 512
@@ -211,12 +210,9 @@ class Parser:
         return labels, scores, entropies
 
 
-@lru_cache(maxsize=2)
 def parser(model: tuple[tuple[str, str], ...]) -> Parser:
     """Built once per Python worker."""
-    built = Parser(model)
-    release()
-    return built
+    return only_one("parser", model, Parser)
 
 
 def identify(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import byte_hash
+from .common import only_one
 
 #: Words that a worker remembers before it starts anew, which bounds its memory.
 REMEMBERED = 600_000
@@ -171,7 +172,6 @@ class Tokens:
             start[rest[(kind[rest] == _LETTER) & ~edge[rest]]] = True
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
     """Loaded once per Python worker."""
-    return Tokens(path)
+    return only_one("tokens", path, Tokens)
