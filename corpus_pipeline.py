@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import language_id, ngram_join, packing, secret_scan, suffix_dedup
-from helixframe.llm.common import discard, shared_path
+from helixframe.llm.common import discard, shared_path, smaller_batches
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage was made from is deleted once its own result is written.
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path := shared_path(spark, name))
-        docs = spark.read.parquet(path)
-        discard(spark, *before)
-        before = [path]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with smaller_batches(spark):
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path := shared_path(spark, name))
+            docs = spark.read.parquet(path)
+            discard(spark, *before)
+            before = [path]
+        return STAGES[-1][1](spark, docs, sf_dir)
