@@ -196,13 +196,14 @@ def adapter_detect(reads: DataFrame, k: int = 8, suffix: int = 20) -> DataFrame:
 def taxonomic_screening(reads: DataFrame, signatures: DataFrame, k: int = 16) -> DataFrame:
     """Each read votes for the taxon most of its k-mers are signatures of (the first in order among equals); others are Unknown.
 
+    Rows that repeat an id are called together, by the distinct k-mers of all of them.
     ``signatures`` (taxon, kmer of ``k`` letters, up to 31; those with letters
     beyond A, C, G, T match nothing) is broadcast only when its size in the
     catalog is below Spark's broadcast threshold; otherwise the join shuffles.
     """
     known = signatures.filter(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select("taxon", kmer_id(F.col("kmer")).alias("code")).distinct()
     numbered = kernels.read_codes(reads, k).select("id", F.explode("codes").alias("code"))
-    votes = numbered.join(known, "code").groupBy("id", "taxon").agg(F.count(F.lit(1)).alias("v"))
+    votes = numbered.join(known, "code").select("id", "taxon", "code").distinct().groupBy("id", "taxon").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("id").agg(F.min_by("taxon", F.struct(-F.col("v"), "taxon")).alias("taxon"))
     called = best.groupBy("taxon").agg(F.count(F.lit(1)).alias("reads"))
     # Both sides of this join are one row.

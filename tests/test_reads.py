@@ -212,3 +212,11 @@ def test_kernels_on_awkward_reads(spark):
                     want[w] = want.get(w, 0) + 1
         assert {r.kmer: r.occurrences for r in R.kmer_counts(reads, k).collect()} == want
     assert R.quality_dist(reads.filter("false")).count() == R.kmer_counts(reads.filter("false")).count() == 0
+
+
+def test_rows_of_one_id_are_called_together(spark):
+    """A k-mer that two rows of an id hold is one vote, so the taxon with more distinct k-mers wins."""
+    known = spark.createDataFrame([("x", "AAAA"), ("y", "CCCC"), ("y", "CCCG")], "taxon string, kmer string")
+    reads = spark.createDataFrame([("a", "AAAA", "IIII"), ("a", "AAAA", "IIII"), ("a", "AAAAT", "IIIII"), ("a", "CCCCG", "IIIII")], "id string, seq string, qual string")
+    found = {(r.taxon, r.reads) for r in R.taxonomic_screening(reads, known, 4).collect()}
+    assert ("y", 1) in found and "x" not in {t for t, _ in found}
