@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_hash
@@ -50,8 +50,13 @@ def blocked(docs: DataFrame, block_bytes: int | None = None, carry: bool = False
     kept = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text"), *whole)
     total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(total / (block_bytes or block_size(total))))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
-    return kept.select("doc_id", "text", *(["row"] if carry else []), F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2"), block.alias("block")), count
+    keyed = kept.select("doc_id", "text", *(["row"] if carry else []), F.xxhash64("text").alias("h"), F.hash("text", F.length("text")).alias("h2"))
+    return keyed.withColumn("block", _block("doc_id", count)), count
+
+
+def _block(id_col: str, count: int) -> Column:
+    """Rows are dealt by id and text, so that an id, or the null one, that many rows hold is in all blocks."""
+    return F.pmod(F.xxhash64(id_col, "h"), F.lit(count)).cast("int")
 
 
 def buckets_of(blocks: int) -> int:
@@ -62,7 +67,7 @@ def buckets_of(blocks: int) -> int:
 def firsts(placed: DataFrame, count: int) -> DataFrame:
     """rep, rep_h and block of the document with the smallest id of each distinct text; other documents are exact copies."""
     least = placed.groupBy(*TEXT_KEY).agg(F.min("doc_id").alias("rep"))
-    return least.select("rep", (F.col("h") + F.lit(0)).alias("rep_h"), F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int").alias("block"))
+    return least.select("rep", (F.col("h") + F.lit(0)).alias("rep_h"), _block("rep", count).alias("block"))
 
 
 def pair_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:

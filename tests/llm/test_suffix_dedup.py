@@ -6,11 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from helixframe.llm import byte_hash
+from helixframe.llm import blocks, byte_hash
 from helixframe.llm import suffix_dedup as D
 from helixframe.llm.queries import op6_suffix_dedup
 
-from .conftest import SF
+from .conftest import SF, prose
 
 
 def brute(rows, size=50):
@@ -86,3 +86,15 @@ def test_awkward_names(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, __null int, `a.b` int, `c``d` int, row int")
     got = D.without_repeats(docs)
     assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a" * 80), (2, "b"), (3, None)]
+
+
+def test_one_id_for_most_rows(spark):
+    """Rows of one id, null or not, lie in many blocks, and never remove each other's bytes."""
+    shared = prose(40, 30)
+    rows = [(None, prose(300 + i, 40) + " " + shared) for i in range(40)] + [(7, prose(400 + i, 40) + " " + shared) for i in range(40)]
+    rows += [(i, prose(500 + i, 40) + shared) for i in range(10)] + [rows[0], rows[0], (7, rows[0][1]), (None, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    placed, count = blocks.blocked(docs, 3_000)
+    held = placed.groupBy("doc_id").agg(F.count_distinct("block").alias("b"), F.count(F.lit(1)).alias("n"))
+    assert count > 4 and all(r.b > 4 for r in held.filter("n > 20").collect())
+    assert rows_of(D.digest(D.remove_repeats(docs, 3_000))) == sorted(brute(rows), key=str)
