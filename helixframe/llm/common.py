@@ -29,8 +29,13 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
-def release() -> None:
-    """Give what a Python worker has freed back to the system, as workers outlive their tasks."""
+_held: dict[str, tuple[object, object]] = {}
+
+
+def release(keeps: str = "") -> None:
+    """Give what a Python worker has freed back to the system, models other than ``keeps`` included, as workers outlive their tasks."""
+    for kind in [k for k in _held if k != keeps]:
+        del _held[kind]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -55,26 +60,22 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int
                 yield b
 
 
-def bounded(run, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
-    """A function of batches that gets slices of them, and releases memory when it ends; no session setting is needed."""
+def bounded(run, rows: int = BATCH_ROWS, size: int = BATCH_BYTES, keeps: str = ""):
+    """A function of batches that gets slices of them, and releases memory but for a model when it ends; no session setting is needed."""
 
     def wrapped(batches):
         yield from run(pieces(batches, rows, size))
-        release()
+        release(keeps)
 
     return wrapped
 
 
-_held: dict[str, tuple[object, object]] = {}
-
-
 def only_one(kind: str, key: object, build):
     """What ``build`` makes of ``key``, kept by a Python worker until it needs another such object.
 
     Workers outlive the stages of a pipeline, so the models of all would add up.
     """
     if kind not in _held or _held[kind][0] != key:
-        _held.clear()
         release()
         _held[kind] = key, build(key)
     return _held[kind][1]

@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "bits"])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    out = kept.mapInArrow(bounded(run), f"doc_id {kind}, lang_pred string, score double, bits double")
+    out = kept.mapInArrow(bounded(run, keeps="parser"), f"doc_id {kind}, lang_pred string, score double, bits double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
@@ -242,7 +242,7 @@ def keep_identified(docs: DataFrame, model: tuple[tuple[str, str], ...]) -> Data
                 columns[lang] = pa.array([x if x is not None else y for x, y in zip(columns[lang].to_pylist(), labels)], columns[lang].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != UNKNOWN for x in labels]))
 
-    return docs.mapInArrow(bounded(run), docs.schema)
+    return docs.mapInArrow(bounded(run, keeps="parser"), docs.schema)
 
 
 def learn_and_identify(docs: DataFrame, **bounds: int) -> DataFrame:

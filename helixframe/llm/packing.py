@@ -263,7 +263,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, length: int, separator: int)
 
     kept = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     path = shared_path(docs.sparkSession, "tokens")
-    kept.mapInArrow(bounded(run), _TOKENIZED).write.mode("overwrite").parquet(path)
+    kept.mapInArrow(bounded(run, keeps="tokens"), _TOKENIZED).write.mode("overwrite").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from . import byte_hash
 from .common import only_one
 
-#: Words that a worker remembers before it starts anew, which bounds its memory.
+#: Words that a worker remembers, with four ids each on average, before it starts anew, which bounds its memory.
 REMEMBERED = 600_000
 
 # The word pattern and the normalizers that the fast path stands for.
@@ -67,11 +67,13 @@ class Tokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.ends, self.filled = np.empty(1 << 16, np.uint32), [0], 0
+        #: The hashes of known words in order, where the ids of each begin in the pool, and how many they are.
+        self.keys, self.begin, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.pool, self.filled = np.empty(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32), 0
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        """Append the ids of new words to the pool."""
+    def _learn(self, keys: np.ndarray, at: np.ndarray, words: list[str]) -> None:
+        """Append the ids of new words to the pool; ``at`` is where their hashes go among the known ones."""
+        begin, count = [], []
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             # Offsets aren't needed: the last id of a word, and no other, has the end-of-word sign.
@@ -80,12 +82,14 @@ class Tokens:
             if len(counts) != len(part) or counts.sum() != len(ids):
                 raise ValueError("the tokenizer cuts words otherwise than its pattern says")
             if self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), np.uint32)])
+                self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), self.pool.dtype)])
             self.pool[self.filled : self.filled + len(ids)] = ids
-            first = len(self.ends) - 1
-            self.known.update(zip(keys[i : i + 4096], range(first, first + len(part))))
-            self.ends += (np.cumsum(counts) + self.filled).tolist()
+            begin.append(np.cumsum(counts) - counts + self.filled)
+            count.append(counts)
             self.filled += len(ids)
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, np.concatenate(begin))
+        self.count = np.insert(self.count, at, np.concatenate(count))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the n + 1 offsets."""
@@ -140,20 +144,20 @@ class Tokens:
             return np.empty(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         hashes = byte_hash.ranges(byte_hash.prefix(data), begins, ends)
         values, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(values) > REMEMBERED:
+        if len(self.keys) + len(values) > REMEMBERED or self.filled > 4 * REMEMBERED:
             self._forget()
-        keys = values.tolist()
-        spot = [self.known.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(spot) if s < 0]
-        if new:
+        among = np.searchsorted(self.keys, values)
+        new = np.ones(len(values), bool)
+        inside = among < len(self.keys)
+        new[inside] = self.keys[among[inside]] != values[inside]
+        if new.any():
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[begins[first[i]] : ends[first[i]]].decode() for i in new])
-            for i in new:
-                spot[i] = self.known[keys[i]]
-        word, until = np.asarray(spot)[place], np.asarray(self.ends)
-        size = until[word + 1] - until[word]
+            self._learn(values[new], among[new], [raw[begins[i] : ends[i]].decode() for i in first[new].tolist()])
+            among = np.searchsorted(self.keys, values)
+        word = among[place]
+        start_of, size = self.begin[word], self.count[word]
         total = np.cumsum(size)
-        ids = self.pool[np.arange(total[-1]) + np.repeat(until[word] - (total - size), size)]
+        ids = self.pool[np.arange(total[-1]) + np.repeat(start_of - (total - size), size)].astype(np.uint32)
         words_at = np.searchsorted(begins, at)
         return ids, np.diff(np.concatenate([[0], total])[words_at])
 
