@@ -45,6 +45,8 @@ def release(keeps: str = "") -> None:
 
 #: Rows and bytes of the batches that operators work on at a time.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Slices between two releases of freed memory.
+RELEASE_AFTER = 8
 
 
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -61,10 +63,19 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int
 
 
 def bounded(run, rows: int = BATCH_ROWS, size: int = BATCH_BYTES, keeps: str = ""):
-    """A function of batches that gets slices of them, and releases memory but for a model when it ends; no session setting is needed."""
+    """A function of batches that gets slices of them; no session setting is needed.
+
+    Memory that is free, and models but for ``keeps``, is given back after so many slices and at the end.
+    """
+
+    def slices(batches):
+        for i, b in enumerate(pieces(batches, rows, size), 1):
+            yield b
+            if i % RELEASE_AFTER == 0:
+                release(keeps)
 
     def wrapped(batches):
-        yield from run(pieces(batches, rows, size))
+        yield from run(slices(batches))
         release(keeps)
 
     return wrapped
