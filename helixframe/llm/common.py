@@ -93,15 +93,20 @@ def only_one(kind: str, key: object, build):
 
 
 @contextmanager
-def smaller_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """Fewer rows in the batches of what runs within; the session's setting is put back at the end."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def smaller_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> Iterator[None]:
+    """Fewer rows and bytes in the Arrow batches of what runs within; the session's settings are put back at the end."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, most in wanted.items():
+        # Bytes may be given with a unit; other than that of bytes they are left as they are.
+        now = before[name].removesuffix("b")
+        if now.removeprefix("-").isdigit():
+            spark.conf.set(name, str(min(most, int(now)) if int(now) > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def text_of(column: str = "text") -> Column:
