@@ -10,9 +10,6 @@ Each stage takes (spark, docs, sf_dir) and all but the last return the columns o
 * secret_scan masks secrets;
 * packing gives the pieces of sequences.
 
-A stage writes its result to the shared folder with small Arrow batches, whose size is a
-session's setting when a plan runs, and returns what it wrote; lineage ends there.
-
 Null texts go with the first stage, as no language can be told of them; a stage by
 itself keeps them. Rows with a null or repeated id count by their text (see
 ``ngram_join.keep_one_of_each``). Ties go to the smaller id, repeated rows are near
@@ -54,23 +51,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def written(name: str, stage: Stage) -> tuple[str, Stage]:
-    """The stage under its name, its result written with small batches and read again; the session's settings are put back."""
+def with_small_batches(stage: Stage) -> Stage:
+    """The stage; what it runs before it returns its plan runs with small Arrow batches."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with smaller_batches(spark):
-            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path := shared_path(spark, name))
-        return spark.read.parquet(path)
+            return stage(spark, docs, sf_dir)
 
-    return name, run_stage
+    return run_stage
 
 
 STAGES = [
-    written("language_id", identify_languages),
-    written("ngram_join", drop_near_duplicates),
-    written("suffix_dedup", cut_repeats),
-    written("secret_scan", mask_secrets),
-    written("packing", pack_sequences),
+    ("language_id", identify_languages),
+    ("ngram_join", with_small_batches(drop_near_duplicates)),
+    ("suffix_dedup", cut_repeats),
+    ("secret_scan", mask_secrets),
+    ("packing", with_small_batches(pack_sequences)),
 ]
 
 #: SQL can't express the models and ranks; tests hold each stage against brute force.
@@ -78,10 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What a stage was made from is deleted once its own result is written."""
+    """All stages over ``documents``; each result is written to the shared folder and read again, which cuts lineage.
+
+    What a stage was made from is deleted once its own result is written.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        discard(spark, *before)
-        before = sorted({f.rsplit("/", 1)[0] for f in docs.inputFiles()[:1]})
-    return docs
+    with smaller_batches(spark):
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path := shared_path(spark, name))
+            docs = spark.read.parquet(path)
+            discard(spark, *before)
+            before = [path]
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -98,7 +98,7 @@ def smaller_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
     before = {name: spark.conf.get(name) for name in wanted}
     for name, most in wanted.items():
-        # Bytes may be given with a unit; other than that of bytes they are left as they are.
+        # A size given in a unit other than bytes is left as it is.
         now = before[name].removesuffix("b")
         if now.removeprefix("-").isdigit():
             spark.conf.set(name, str(min(most, int(now)) if int(now) > 0 else most))
