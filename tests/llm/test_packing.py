@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from helixframe.llm import packing as K
+from helixframe.llm import word_tokens
 from helixframe.llm.queries import WORD_TOKENIZER, op4_packing
 from helixframe.llm.word_tokens import Tokens
 
@@ -26,6 +27,18 @@ def test_ids_are_the_tokenizers(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_small_memory_of_words_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(word_tokens, "REMEMBERED", 4)
+    known, most = Tokens(WORD_TOKENIZER), 0
+    for i in range(20):
+        texts = [f"word{chr(97 + i)} antidisestablishmentarianism it's", f"{chr(97 + i)}b again", ""]
+        ids, at = known.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+        assert (np.diff(known.keys.astype(object)) > 0).all()
+        most = max(most, len(known.keys))
+    assert most <= 8
+
+
 def test_special_tokens_in_a_text_have_their_own_ids():
     ids, _ = TOKENS.encode(pa.array(["a <|endoftext|> b", "plain"]))
     assert ids.tolist() == [320, 49407, 321, *PLAIN.encode("plain", add_special_tokens=False).ids]

@@ -4,6 +4,7 @@ import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from helixframe.llm import secret_scan
+from helixframe.llm.common import smaller_batches
 
 from .conftest import SF
 from .test_ngram_join import brute as classes
@@ -59,3 +60,11 @@ def test_awkward_rows(spark, docs, no_docs):
             assert got.columns == docs.columns, name
             got.count()
         P.STAGES[-1][1](spark, table, SF).count()
+
+
+def test_small_batches_leave_the_session_as_it_was(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    with smaller_batches(spark, 7, 1 << 20):
+        assert [spark.conf.get(n).removesuffix("b") for n in names] == ["7", str(1 << 20)]
+    assert [spark.conf.get(n) for n in names] == before
