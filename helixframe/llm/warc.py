@@ -141,7 +141,8 @@ def parse_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict, bytes, bytes]
     feed, data, at = iter(chunks), bytearray(), 0
 
     def more() -> bool:
-        if (chunk := next(feed, None)) is None:
+        # The end of a gzip member gives an empty chunk, after which there may be nothing.
+        if (chunk := next(filter(None, feed), None)) is None:
             return False
         data.extend(chunk)
         return True

@@ -9,6 +9,7 @@ import pytest
 from helixframe.llm import warc as A
 from helixframe.llm.common import shared_path
 from helixframe.llm.queries import op7_warc
+from helixframe.sources import parsing
 
 from .conftest import SF
 
@@ -112,3 +113,17 @@ def test_files_and_members(spark):
     with open(f"{path.removeprefix('file:')}/archives/left-over.warc.gz", "wb") as f:
         f.write(open(files[0], "rb").read())
     assert A.read_archives(spark, path).count() == 300
+
+
+def test_chunks_may_end_anywhere_in_an_archive(spark):
+    """Also within the first two bytes of a gzip member and within its trailer."""
+    path = shared_path(spark, "warc-chunks")
+    A.write_archives(A.resolve(pages(spark, PAGES[:3]).coalesce(1)), path)
+    data = open(archives(path)[0], "rb").read()
+    whole = list(A.parse_records(parsing.gunzip([data])))
+    assert len(whole) == 3
+    for i in range(1, len(data)):
+        assert list(A.parse_records(parsing.gunzip([data[:i], data[i:]]))) == whole
+    assert list(A.parse_records(parsing.gunzip(data[i : i + 1] for i in range(len(data))))) == whole
+    with pytest.raises(parsing.FormatError, match="truncated"):
+        list(parsing.gunzip([data, b"\x1f"]))
