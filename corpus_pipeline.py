@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import language_id, ngram_join, packing, secret_scan, suffix_dedup
-from helixframe.llm.common import discard, shared_path, smaller_batches
+from helixframe.llm.common import discard, release_heaps, shared_path, smaller_batches
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +61,22 @@ def with_small_batches(stage: Stage) -> Stage:
     return run_stage
 
 
+def from_small_heaps(stage: Stage) -> Stage:
+    """The stage; executors first give back the heap that what ran before has grown and left."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_languages),
-    ("ngram_join", with_small_batches(drop_near_duplicates)),
-    ("suffix_dedup", cut_repeats),
-    ("secret_scan", mask_secrets),
-    ("packing", with_small_batches(pack_sequences)),
+    ("language_id", from_small_heaps(identify_languages)),
+    ("ngram_join", from_small_heaps(with_small_batches(drop_near_duplicates))),
+    ("suffix_dedup", from_small_heaps(cut_repeats)),
+    ("secret_scan", from_small_heaps(mask_secrets)),
+    ("packing", from_small_heaps(with_small_batches(pack_sequences))),
 ]
 
 #: SQL can't express the models and ranks; tests hold each stage against brute force.

@@ -43,6 +43,17 @@ def release(keeps: str = "") -> None:
         pass
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Collect the executors' heaps, so that their JVMs give what is unused back to the system.
+
+    A JVM keeps what its heap once grew to, several times what is alive, so the peaks of all stages of a
+    session would stay. A task per core reaches the executors that are there; one that is missed, or whose
+    JVM takes no such request, just stays as large as it is.
+    """
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 #: Rows and bytes of the batches that operators work on at a time.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Slices between two releases of freed memory.
@@ -138,4 +149,4 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, to
     return dealt.join(spread_right, [*keys, "__part"], how).drop("__part")
 
 
-__all__ = ["bounded", "discard", "id_and_text", "join_hot", "only_one", "partitions_of", "pieces", "quoted", "release", "settle", "shared_path", "smaller_batches", "text_of"]
+__all__ = ["bounded", "discard", "id_and_text", "join_hot", "only_one", "partitions_of", "pieces", "quoted", "release", "release_heaps", "settle", "shared_path", "smaller_batches", "text_of"]

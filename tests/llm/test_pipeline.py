@@ -68,3 +68,16 @@ def test_small_batches_leave_the_session_as_it_was(spark):
     with smaller_batches(spark, 7, 1 << 20):
         assert [spark.conf.get(n).removesuffix("b") for n in names] == ["7", str(1 << 20)]
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_stages_collect_the_heaps_first(spark, no_docs):
+    """A local session's executor is the driver's JVM; else its heap stays as large as the stages before made it."""
+
+    def full() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+
+    for name, stage in P.STAGES:
+        before = full()
+        stage(spark, no_docs, SF)
+        assert full() > before, name
