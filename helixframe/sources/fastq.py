@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import glob
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,7 +27,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from . import parsing
 
 _CHUNK = 1 << 20
-_ROWS = 4096
 _COLUMNS = ("id", "seq", "qual")
 MODES = ("LENIENT", "PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
@@ -65,14 +64,14 @@ def _chunks(stream, begin: int) -> Iterator[bytes]:
         yield data
 
 
-def range_records(part: Range, incomplete: bool = False, max_ratio: int = 0) -> Iterator[parsing.Record]:
+def range_batches(part: Range, incomplete: bool = False, max_ratio: int = 0, columns: Iterable[str] = parsing.COLUMNS) -> Iterator[pa.RecordBatch]:
     """The records that a range owns."""
     with _open(part.path) as stream:
         if part.compression == "gzip":
-            yield from parsing.records(parsing.lines(parsing.gunzip(_chunks(stream, 0))), incomplete=incomplete)
+            yield from parsing.batches(parsing.gunzip(_chunks(stream, 0)), incomplete=incomplete, columns=columns)
         elif part.compression == "none":
             limit = None if part.end is None else parsing.Limit(part.end - part.begin, True)
-            yield from parsing.records(parsing.lines(_chunks(stream, part.begin)), limit, part.begin > 0, incomplete)
+            yield from parsing.batches(_chunks(stream, part.begin), limit, part.begin > 0, incomplete, columns)
         else:
             # The limit is the bytes of the blocks that start within the range, known once a later block is met; the last record may go on there.
             own = parsing.Limit()
@@ -87,7 +86,13 @@ def range_records(part: Range, incomplete: bool = False, max_ratio: int = 0) ->
                             return
                     yield d
 
-            yield from parsing.records(parsing.lines(data()), own if part.end is not None else None, part.begin > 0, incomplete)
+            yield from parsing.batches(data(), own if part.end is not None else None, part.begin > 0, incomplete, columns)
+
+
+def range_records(part: Range, incomplete: bool = False, max_ratio: int = 0) -> Iterator[parsing.Record]:
+    """The same as tuples."""
+    for b in range_batches(part, incomplete, max_ratio):
+        yield from zip(*(c.to_pylist() for c in b.columns))
 
 
 class FastqReader(DataSourceReader):
@@ -114,22 +119,16 @@ class FastqReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.compression == "empty":
             return
-        checked, rows = self.mode != "LENIENT", []
-        for r in range_records(partition, incomplete=checked, max_ratio=self.max_ratio):
-            if r[3] and self.mode == "FAILFAST":
-                raise parsing.FormatError(f"{r[3]}: record {r[0]!r} in {partition.path}")
-            if r[3] and self.mode == "DROPMALFORMED":
-                continue
-            rows.append(r)
-            if len(rows) == _ROWS:
-                yield self._batch(rows)
-                rows = []
-        if rows:
-            yield self._batch(rows)
-
-    def _batch(self, rows: list[parsing.Record]) -> pa.RecordBatch:
-        found = dict(zip((*_COLUMNS, "_error"), zip(*rows)))
-        return pa.RecordBatch.from_arrays([pa.array(found[c], pa.string()) for c in self.columns], self.columns)
+        checked = self.mode != "LENIENT"
+        for b in range_batches(partition, checked, self.max_ratio, parsing.COLUMNS if checked else self.columns):
+            if checked and b["_error"].null_count < b.num_rows:
+                if self.mode == "FAILFAST":
+                    r = b.filter(b["_error"].is_valid()).slice(0, 1).to_pylist()[0]
+                    raise parsing.FormatError(f"{r['_error']}: record {r['id']!r} in {partition.path}")
+                if self.mode == "DROPMALFORMED":
+                    b = b.filter(b["_error"].is_null())
+            if b.num_rows:
+                yield b.select(self.columns)
 
 
 class FastqDataSource(DataSource):
@@ -168,14 +167,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 raw = content.as_py() or b""
                 kind = parsing.sniff(raw[:64])
                 data = parsing.gunzip([raw]) if kind != "none" else [raw]
-                rows = []
-                for r in parsing.records(parsing.lines(data)):
-                    rows.append(r[:3])
-                    if len(rows) == _ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], list(_COLUMNS))
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], list(_COLUMNS))
+                yield from parsing.batches(data, columns=_COLUMNS)
 
     return files.select("content").mapInArrow(run, "id string, seq string, qual string")
 

@@ -95,6 +95,23 @@ def test_modes(spark, tmp_path):
         fastq.read_fastq(spark, path, mode="FAILFAST").count()
 
 
+@pytest.mark.parametrize("kind", ["none", "bgzf"])
+@pytest.mark.parametrize("first", ["I", "@"])
+def test_ranges_keep_broken_records(tmp_path, kind, first):
+    """Broken records and junk at the cuts are found as in one range, also where every quality looks like an id."""
+    raw = b"".join(b"@r%d\nACGTA\n%s\n%sIIII%s\n%s" % (i, b"+-"[i % 2 : i % 2 + 1], first.encode(), b"I" * (i % 3 == 0), b"junk\n" * (i % 7 == 0)) for i in range(60))
+    path = tmp_path / "a.fastq"
+    path.write_bytes(parsing.bgzf_compress(raw, 90) if kind == "bgzf" else raw)
+    size = path.stat().st_size
+    whole = list(fastq.range_records(fastq.Range(str(path), 0, None, kind)))
+    assert [r[0] for r in whole] == [f"r{i}" for i in range(60)] and sum(r[3] is None for r in whole) == 20
+    for step in (11, 40, 97, 300):
+        got = []
+        for b in range(0, size, step):
+            got += fastq.range_records(fastq.Range(str(path), b, b + step if b + step < size else None, kind))
+        assert got == whole
+
+
 def test_bomb_and_damage(tmp_path):
     import io
 
