@@ -176,6 +176,6 @@ def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
     """A folder of FASTQ part files: plain, gzip or bgzf."""
     text = reads.select(F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
     if compression == "bgzf":
-        parsing.write_parts(text, path, lambda batches: parsing.bgzf_compress("".join(x + "\n" for b in batches for x in b.column(0).to_pylist()).encode()), "fastq.gz")
+        parsing.write_parts(text, path, lambda batches: parsing.bgzf_stream("".join(x + "\n" for x in b.column(0).to_pylist()).encode() for b in batches), "fastq.gz")
     else:
         text.write.mode("overwrite").option("compression", compression).text(path)

@@ -1,11 +1,13 @@
 """FASTQ and BAM reading: formats, splits, modes and round trips."""
 
 import gzip
+import io
 import os
 import struct
 import time
 import uuid
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -251,6 +253,32 @@ def test_api_and_cli(spark, tmp_path, capsys):
         assert capsys.readouterr().out
 
 
+def written_early(spark, monkeypatch, write, row):
+    """How many of 200 batches a writer takes in before it gives its first bytes, and all that it gives."""
+    taken, kept = [], []
+    monkeypatch.setattr(parsing, "write_parts", lambda rows, path, encode, suffix: kept.append((rows, encode)))
+    write()
+    rows, encode = kept[0]
+    batch = pa.RecordBatch.from_pylist([row(rows)] * 500)
+
+    def feed():
+        for i in range(200):
+            taken.append(i)
+            yield batch
+
+    pieces = iter(encode(feed()))
+    data = [next(pieces)]
+    return len(taken), b"".join([*data, *pieces])
+
+
+def test_bgzf_is_written_as_it_comes(spark, monkeypatch):
+    reads = spark.createDataFrame([("a", "ACGT" * 20, "I" * 80)], "id string, seq string, qual string")
+    n, data = written_early(spark, monkeypatch, lambda: fastq.write_fastq(reads, "x", "bgzf"), lambda rows: rows.first().asDict())
+    assert n < 5
+    text = b"".join(d for _, d in parsing.bgzf_blocks(io.BytesIO(data)))
+    assert text == b"@a\n" + b"ACGT" * 20 + b"\n+\n" + b"I" * 80 + b"\n" + text[167:] and text.count(b"@a\n") == 100_000 and len(text) == 100_000 * 167
+
+
 def test_write_and_generate(spark, tmp_path):
     made = generate.mixed(spark, 200)
     assert made.filter("length(seq) != length(qual)").count() == 0
