@@ -235,9 +235,9 @@ def encode_header(references: int) -> bytes:
 def write_bam(rows: DataFrame, path: str, references: int) -> None:
     """A folder of block-compressed BAM files, one a partition; columns that are missing are empty."""
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> bytes:
-        found = (encode_record(*r) for b in batches for r in zip(*(b.column(c).to_pylist() for c in _FIELDS)))
-        return parsing.bgzf_compress(b"".join([encode_header(references), *found]))
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
+        found = (b"".join(encode_record(*r) for r in zip(*(b.column(c).to_pylist() for c in _FIELDS))) for b in batches)
+        return parsing.bgzf_stream(itertools.chain([encode_header(references)], found))
 
     parsing.write_parts(rows.select(*(F.col(c) if c in rows.columns else F.lit("").alias(c) for c in _FIELDS)), path, encode, "bam")
 

@@ -279,6 +279,14 @@ def test_bgzf_is_written_as_it_comes(spark, monkeypatch):
     assert text == b"@a\n" + b"ACGT" * 20 + b"\n+\n" + b"I" * 80 + b"\n" + text[167:] and text.count(b"@a\n") == 100_000 and len(text) == 100_000 * 167
 
 
+def test_bam_is_written_as_it_comes(spark, monkeypatch):
+    made = simulate_alignments(spark, 1).select("flag", "reference_id", "position", "mapping_quality", "cigar", "template_length")
+    n, data = written_early(spark, monkeypatch, lambda: write_bam(made, "x", 24), lambda rows: rows.first().asDict())
+    assert n < 20
+    got = list(bam_records(b"".join(d for _, d in parsing.bgzf_blocks(io.BytesIO(data)))))
+    assert len(got) == 100_000 and set(got) == {tuple(made.selectExpr("flag", "reference_id", "position", "mapping_quality", "cigar", "''", "''", "template_length").first())}
+
+
 def test_write_and_generate(spark, tmp_path):
     made = generate.mixed(spark, 200)
     assert made.filter("length(seq) != length(qual)").count() == 0
