@@ -220,3 +220,9 @@ def test_rows_of_one_id_are_called_together(spark):
     reads = spark.createDataFrame([("a", "AAAA", "IIII"), ("a", "AAAA", "IIII"), ("a", "AAAAT", "IIIII"), ("a", "CCCCG", "IIIII")], "id string, seq string, qual string")
     found = {(r.taxon, r.reads) for r in R.taxonomic_screening(reads, known, 4).collect()}
     assert ("y", 1) in found and "x" not in {t for t, _ in found}
+
+
+def test_minhash_pairs_are_compared_in_compiled_code(spark):
+    """No lambda runs for each pair of reads that meet."""
+    plan = S.minhash_similarity(seqs(spark, "ACGT" * 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "Join" in plan
