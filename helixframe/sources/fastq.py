@@ -178,4 +178,4 @@ def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
     if compression == "bgzf":
         parsing.write_parts(text, path, lambda batches: parsing.bgzf_stream("".join(x + "\n" for x in b.column(0).to_pylist()).encode() for b in batches), "fastq.gz")
     else:
-        text.write.mode("overwrite").option("compression", compression).text(path)
+        text.write.mode("overwrite").option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)

@@ -114,6 +114,14 @@ def test_ranges_keep_broken_records(tmp_path, kind, first):
         assert got == whole
 
 
+def test_gzip_records_come_in_batches():
+    """Records are cut in arrays of a chunk, not one by one, wherever chunks end."""
+    rows, raw = text(5000)
+    packed = gzip.compress(raw)
+    found = list(parsing.batches(parsing.gunzip(packed[i : i + 1000] for i in range(0, len(packed), 1000)), columns=("id", "seq", "qual")))
+    assert len(found) < 5 and [tuple(r.values()) for b in found for r in b.to_pylist()] == rows
+
+
 def test_bomb_and_damage(tmp_path):
     import io
 
